@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from lumenfold.llm.ann import op10_ann
 from lumenfold.llm.bpe import op1_bpe
+from lumenfold.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from lumenfold.llm.packing import op8_packing
+from lumenfold.llm.sharding import op2_sharding
+from lumenfold.llm.warc import OP4_SQL, op4_warc
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_packing": op8_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
+    "op4_warc": op4_warc,
+    "op8_packing": op8_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_ann": op10_ann,
+}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op9_exact_dedup": OP9_SQL}
