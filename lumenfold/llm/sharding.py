@@ -39,8 +39,7 @@ def bucket_of(pos: Column) -> Column:
 
 def with_arc(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """``keyed`` (with ``h``) with its arc. The lookup table has BUCKETS rows."""
-    spark = keyed.sparkSession
-    wide = F.broadcast(places).crossJoin(spark.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket")))  # one row by BUCKETS
+    wide = places.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
     inside = F.filter("arcs", lambda a: bucket_of(a.pos) == F.col("bucket"))
     after = F.filter("arcs", lambda a: bucket_of(a.pos) > F.col("bucket"))
     lookup = wide.select("bucket", inside.alias("inside"), F.coalesce(F.get(after, F.lit(0)), F.get("arcs", F.lit(0))).arc.alias("after"))
@@ -51,11 +50,11 @@ def with_arc(keyed: DataFrame, places: DataFrame) -> DataFrame:
 def sweep(counts: DataFrame, places: DataFrame, shards: int, slack: float) -> DataFrame:
     """(arc, shard, keep, slot, over, pieces): the first ``keep`` keys of an arc go to its shard from ``slot`` on;
     the others have the ranks from ``over`` on in the queue, of which ``pieces`` tell ranges, shards and slots."""
-    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("arc", "n"))).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    arcs = places.select(F.inline("arcs")).join(counts, "arc", "left").select(F.struct("arc", "shard", F.coalesce("n", F.lit(0)).alias("n")).alias("a"))
+    held = arcs.agg(F.sort_array(F.collect_list("a")).alias("arcs"), F.sum("a.n").alias("total"))  # one row
     cap = "(total div {s} + int(i < total % {s}))" if slack == 0 else "bigint(ceil(total * {f} / {s}))"
-    laps = "concat(" + ", ".join(f"transform(arcs, a -> named_struct('lap', {lap}, 'arc', a.arc, 'shard', a.shard, 'n', bigint({n})))" for lap, n in ((1, "coalesce(n[a.arc], 0)"), (2, "0"))) + ")"
-    ready = places.crossJoin(held).selectExpr(  # one row by one row
-        "arcs",
+    laps = "concat(" + ", ".join(f"transform(arcs, a -> named_struct('lap', {lap}, 'arc', a.arc, 'shard', a.shard, 'n', bigint({n})))" for lap, n in ((1, "a.n"), (2, "0"))) + ")"
+    ready = held.selectExpr(
         f"transform(sequence(0, {shards - 1}), i -> {cap.format(s=shards, f=1 + slack)}) AS caps",
         f"{laps} AS steps",
     )
