@@ -110,7 +110,7 @@ def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     return items.mapInArrow(run, "bucket long, id long")
 
 
-def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
+def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float = THRESHOLD, with_uid: bool = False) -> DataFrame:
     """(key, *carry, class_id, class_size, kept) for each row; class_id is the key of the row that stays."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("own_key"), *(F.col(c).alias(f"own_{c}") for c in carry), F.xxhash64(whole).alias("id"), F.xxhash64(whole, F.lit(5)).alias("tag"), F.monotonically_increasing_id().alias("uid"))
@@ -121,6 +121,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry:
     order = F.struct(F.col("own_key").isNull().alias("none"), F.col("own_key").alias("key"), F.col("uid").alias("uid"))
     classes = placed.groupBy("root", "tag").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(classes, ["root", "tag"]).select(
+        *(["uid"] if with_uid else []),
         F.col("own_key").alias(key),
         *(F.col(f"own_{c}").alias(c) for c in carry),
         F.col("first.key").alias("class_id"),
@@ -129,5 +130,11 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry:
     )
 
 
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that stay: one of each class. ``df`` must be stored, so that it has the same rows in the same order each time."""
+    kept = near_classes(df, text, key, threshold=threshold, with_uid=True).where("kept").select(F.col("uid").alias("kept_uid"))
+    return df.withColumn("kept_uid", F.monotonically_increasing_id()).join(kept, "kept_uid", "left_semi").select(df.columns)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
