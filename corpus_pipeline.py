@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenfold.llm import language, line_dedup, minhash_dedup, packing, toxicity
 from lumenfold.llm.common import scratch, table
-from lumenfold.llm.packing import pack
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, with_ids=False)
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, trained on the labels, calls toxic go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).where("NOT toxic").select(docs.columns)
 
 
-STAGES = [("packing", packing)]
-#: The classifiers are trained, which SQL can't express.
+def unknown_language_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language no class claims with enough confidence go."""
+    return language.predict(docs, language.train(docs)).where("accepted").select(docs.columns)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are near duplicates the first stays; documents that lose all their lines go."""
+    found = line_dedup.dedup_lines(docs)
+    return found.where(r"n_dropped = 0 OR text RLIKE '\\S'").select(docs.columns)
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return minhash_dedup.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("language", unknown_language_out),
+    ("line_dedup", lines_once),
+    ("near_dedup", near_duplicates_out),
+    ("packing", packed),
+]
+#: Trained classifiers and tokens are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
