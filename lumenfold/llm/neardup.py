@@ -4,9 +4,11 @@ Items are distinct texts, named by a 64-bit hash of their content, so that copie
 
 1. Each member of a bucket is compared with the bucket's smallest member (a star; never all pairs of a bucket).
 2. Verified links form components, by union-find within tasks and star contraction between them.
-3. A bucket whose members all lie in one component is done, which holds for the buckets of large groups. In the
-   others the pairs across components are verified too and the components joined once more. So every pair that
-   shares a bucket is either verified or already in one component: no link between candidates is lost.
+3. A bucket whose members all lie in one component is done. In the others the pairs across components are verified
+   too and the components joined once more. Their members are dealt into blocks of bounded size, and a task counts
+   the shared shingles of two blocks by a matrix product, so that no row is made for a pair; of the buckets that two
+   members share, the one of the lowest band verifies them. So every pair that shares a bucket is either verified or
+   already in one component: no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut
 
+#: Members and characters of a block of a bucket.
+BLOCK, BLOCK_CHARS = 1024, 8_000_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -37,6 +41,7 @@ def band_rows(ids: np.ndarray, minima: np.ndarray, rows: int) -> pa.RecordBatch:
     keys = np.broadcast_to(np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), values.shape[:2]).copy()
     for i in range(rows):
         keys = mixed(keys ^ values[:, :, i]) + np.uint64(0x9E3779B97F4A7C15)
+    keys = keys & ~np.uint64(63) | np.arange(values.shape[1], dtype=np.uint64)  # the band in the low bits
     return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, values.shape[1]))], names=["bucket", "id"])
 
 
@@ -133,11 +138,59 @@ def linked(bands: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndar
 
     members = starred.select("bucket", "id").union(starred.select("bucket", F.col("rep").alias("id")).distinct())
     placed = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1 AND n > 2").select("bucket")
-    rest = cut(placed.join(open_, "bucket", "left_semi"))
+    sized = placed.join(texts.select("id", F.length("text").alias("chars")), "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("chars") / BLOCK_CHARS)).cast("int")
+    open_ = sized.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("c0 <> c1 AND n > 2").select("bucket", "blocks")
+    rest = cut(placed.join(open_, "bucket"))
     if rest.isEmpty():
         return roots
-    across = rest.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")).join(rest.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")), "bucket").where("a > b AND ca <> cb")
-    more = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    again = cut(verified(more, texts, shingles, threshold))
+    again = cut(across(rest, texts, shingles, threshold))
     return roots if again.isEmpty() else cut(components(links.union(again)))
+
+
+def across(rest: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+    """The verified pairs (a, b) of different components within buckets. rest: (bucket, id, c, blocks)."""
+    own = rest.groupBy("id", "c").agg(F.collect_list("bucket").alias("buckets")).join(texts, "id")  # at most one bucket for each band
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = rest.select("bucket", "id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("bucket", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(own, "id")
+
+    def run(rows: pa.Table) -> pa.Table:
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        block, c, ids = (rows.column(x).to_numpy() for x in ("block", "c", "id"))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        may = c[left][:, None] != c[right][None, :]
+        if low == high:
+            may &= np.tri(len(left), k=-1, dtype=bool)
+        band = rows.column("bucket")[0].as_py() & 63
+        keys = np.zeros((rows.num_rows, 64), np.int64)
+        for i, x in enumerate(rows.column("buckets").to_pylist()):
+            keys[i, np.array(x) & 63] = x
+        for k in range(band):
+            may &= (keys[left, k][:, None] != keys[right, k][None, :]) | (keys[left, k][:, None] == 0)
+        hit = np.zeros((2, 0), np.int64)
+        if may.any():
+            sets = [shingles(x) for x in rows.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            both = shared(sets, left, right)
+            hit = np.stack(np.nonzero(may & (both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both)) & (both > 0)))
+        return pa.table([ids[left[hit[0]]], ids[right[hit[1]]]], names=["a", "b"])
+
+    return cells.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many hashes each set of ``left`` shares with each of ``right``."""
+    item = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    item, at = item[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    item, at = item[order], at[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(often.sum()), columns):
+        a, b = np.searchsorted(at, [start, start + columns])
+        x = np.zeros((len(sets), columns), np.float32)
+        x[item[a:b], at[a:b] - start] = 1
+        both += x[left] @ x[right].T
+    return both
