@@ -32,11 +32,13 @@ class BandMathError(ValueError):
 
 @dataclass(frozen=True)
 class Image:
-    """A variable: a cube or band with its keys, for example ("ds_id", "y", "x")."""
+    """A variable: a cube or band with its keys, for example ("ds_id", "y", "x"). With the number of its bands, what
+    doesn't fit is told before anything runs."""
 
     kind: str
     frame: DataFrame
     keys: tuple[str, ...] = ("y", "x")
+    bands: int | None = None
 
 
 @dataclass(frozen=True)
@@ -154,9 +156,11 @@ class Compiler:
                 args.append(self.comparison())
             if not self.eat(",") and self.peek() != ")":
                 raise BandMathError(f"unexpected {self.peek()!r} in the arguments of {name}")
+        return self.applied(name, [*args, *named.values()])
+
+    def applied(self, name: str, args: Sequence[Typed]) -> Typed:
         if (f := self.functions.get(name)) is None:
             raise BandMathError(f"no function {name}")
-        args += named.values()
         if len(args) != f.arity:
             raise BandMathError(f"{name} takes {f.arity} arguments")
         if f.whole:
@@ -211,31 +215,29 @@ def variables_of(text: str) -> set[str]:
     return {x.lower() for i, (kind, x) in enumerate(found) if kind == "name" and x.lower() not in ("true", "false") and found[i + 1 : i + 2] not in ([("op", "(")], [("op", "=")])}
 
 
-def parses(text: str) -> bool:
-    try:
-        names = {x: Typed("cube", F.array(F.lit(1.0))) for x in variables_of(text)}
-        Compiler(text, names, AnyFunction()).whole()
-    except BandMathError:
-        return False
-    return True
-
+class Reader(Compiler):
+    """Reads an expression without regard to what fits together."""
 
-class AnyFunction(Registry):
-    def get(self, name, default=None):
-        return AnyArity()
+    def __init__(self, text: str):
+        super().__init__(text, {}, Registry())
+        self.any = Typed("number", F.lit(0.0))
 
+    def variable(self, name: str) -> Typed:
+        return self.any
 
-class AnyArity:
-    whole, build = False, staticmethod(lambda *x: x[0])
+    def applied(self, name: str, args: Sequence[Typed]) -> Typed:
+        return self.any
 
-    def __init__(self):
-        self.arity = self
+    def binary(self, op: str, a: Typed, b: Typed) -> Typed:
+        return self.any
 
-    def __eq__(self, other) -> bool:
-        return True
 
-    def __ne__(self, other) -> bool:
+def parses(text: str) -> bool:
+    try:
+        Reader(text).whole()
+    except BandMathError:
         return False
+    return True
 
 
 def evaluate(text: str, variables: Mapping[str, Variable], functions: Registry | None = None) -> tuple[str, DataFrame | Column]:
@@ -246,7 +248,7 @@ def evaluate(text: str, variables: Mapping[str, Variable], functions: Registry |
     images: list[tuple[str, Image]] = []
     for name, v in variables.items():
         if isinstance(v, Image):
-            names[name] = Typed(v.kind, F.col(f"`{name}`"))
+            names[name] = Typed(v.kind, F.col(f"`{name}`"), v.bands)
             if name in used:
                 images.append((name, v))
         elif isinstance(v, int | float):

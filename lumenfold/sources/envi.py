@@ -60,7 +60,7 @@ def bad_or_ignored(x: np.ndarray, header: dict) -> np.ndarray:
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(stem, header): the header text of each raster below a path."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.hdr").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("pathGlobFilter", "*.hdr").option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.hdr$", "").alias("stem"), F.col("value").alias("header"))
 
 
@@ -122,7 +122,7 @@ def encode_raster(values: np.ndarray, fields: dict | None = None, ignore: float
 def encode_blocks(cube: DataFrame, width: int, lines: int, ignore: float = -9999.0) -> DataFrame:
     """(block, header, data): a raster (y, x, spectrum) as ENVI files of so many lines; ``y start`` places them."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
         spectra = table.column("spectrum").to_pylist()
         n = max(map(len, spectra))

@@ -13,7 +13,7 @@ def base_name(path: Column) -> Column:
 
 def one_of_each(names: DataFrame, column: str = "name") -> DataFrame:
     """(base, name): of the files with one base name one, with an extension first."""
-    bare = F.when(F.col(column) == base_name(F.col(column)), 1).otherwise(0)
+    bare = (~F.col(column).rlike(r"[^/]\.[^./]+$")).cast("int")
     best = F.min(F.struct(bare.alias("bare"), F.col(column).alias("name"))).alias("best")
     return names.groupBy(base_name(F.col(column)).alias("base")).agg(best).select("base", "best.name")
 
