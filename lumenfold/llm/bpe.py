@@ -240,14 +240,14 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
     path = path or default_path()
     extra = {ids, decoded} - {None}
     kept = df.select([c for c in df.columns if c not in extra or c == text])
-    out = [f for f in kept.schema.fields if f.name not in extra] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.StringType())] * (decoded is not None)
+    out = [f for f in kept.schema.fields if f.name not in extra] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     names = [f.name for f in out]
 
     def run(batches):
         bpe = encoder(path)
         for part, rows in in_slices(batches, text, bpe.encode):
             own = [part.column(c) for c in names if c not in extra]
-            made = [_list_of_ids(rows)] + [pa.array(map(bpe.decode, rows), pa.string())] * (decoded is not None)
+            made = [_list_of_ids(rows), *([pa.array(map(bpe.decode, rows), pa.string())] if decoded else [])]
             yield pa.RecordBatch.from_arrays(own + made, names=names)
 
     return kept.mapInArrow(run, T.StructType(out))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import table
+from lumenfold.llm.common import cut, table
 
 SLOTS, KICKS, LOAD = 4, 200, 0.9
 LEAST = -(1 << 63)
@@ -166,7 +166,8 @@ def _index(batches):
 
 def mark_copies(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, *carry, keep_id, group_size, kept, digest) for each row."""
-    rows = df.select(key, *carry, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.monotonically_increasing_id().alias("uid"))
+    # written once, without texts: the numbers of rows must be the same wherever they are used
+    rows = cut(df.select(key, *carry, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.monotonically_increasing_id().alias("uid")))
     single = rows.select("digest", F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("group_size"))
     local = single.mapInArrow(_index, LIVE)
     live = local.repartition("digest").mapInArrow(_index, LIVE)

@@ -69,7 +69,8 @@ def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with the lines that stay in ``text``, and ``n_lines`` and ``n_dropped``."""
+    """``df`` with the lines that stay in ``text``, and ``n_lines`` and ``n_dropped``. ``df`` must be stored (a table or
+    files), so that it has the same rows in the same order each time."""
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     docs = df.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("uid"))
     lines = df.select(F.col(key).alias("key"), F.col(text).alias("whole"), F.monotonically_increasing_id().alias("uid")).select("key", "uid", F.posexplode(F.split("whole", "\n")).alias("pos", "text")).where(r"text RLIKE '\\S'")

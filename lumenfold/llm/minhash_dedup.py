@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import table
+from lumenfold.llm.common import cut, table
 from lumenfold.llm.neardup import band_rows, linked, mixed, unseen
 
 WORDS, THRESHOLD = 5, 0.8
@@ -113,7 +113,8 @@ def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
 def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float = THRESHOLD, with_uid: bool = False) -> DataFrame:
     """(key, *carry, class_id, class_size, kept) for each row; class_id is the key of the row that stays."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).alias("own_key"), *(F.col(c).alias(f"own_{c}") for c in carry), F.xxhash64(whole).alias("id"), F.xxhash64(whole, F.lit(5)).alias("tag"), F.monotonically_increasing_id().alias("uid"))
+    # written once: the numbers of rows must be the same wherever they are used
+    rows = cut(df.select(F.col(key).alias("own_key"), *(F.col(c).alias(f"own_{c}") for c in carry), F.xxhash64(whole).alias("id"), F.xxhash64(whole, F.lit(5)).alias("tag"), F.monotonically_increasing_id().alias("uid")))
     items = df.select(F.xxhash64(whole).alias("id"), whole.alias("text"))
     roots = linked(signed(items), items, shingles, threshold)
     # an item with near duplicates is named by its root, any other by 128 bits of its text
@@ -132,8 +133,8 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry:
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that stay: one of each class. ``df`` must be stored, so that it has the same rows in the same order each time."""
-    kept = near_classes(df, text, key, threshold=threshold, with_uid=True).where("kept").select(F.col("uid").alias("kept_uid"))
-    return df.withColumn("kept_uid", F.monotonically_increasing_id()).join(kept, "kept_uid", "left_semi").select(df.columns)
+    kept = near_classes(df, text, key, threshold=threshold, with_uid=True).where("kept").select(F.col("uid").alias("__kept_uid"))
+    return df.withColumn("__kept_uid", F.monotonically_increasing_id()).join(kept, "__kept_uid", "left_semi").select(df.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

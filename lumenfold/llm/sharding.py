@@ -78,26 +78,29 @@ def sweep(counts: DataFrame, places: DataFrame, shards: int, slack: float) -> Da
 def assign(df: DataFrame, shards: int, key: str = "doc_id", nodes: int = 64, slack: float = 0.0) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (gapless from 0 in each shard). The columns of ``df`` are shuffled: select what is needed first."""
     places = ring(df.sparkSession, shards, nodes)
-    salt = F.pmod(F.xxhash64("h", F.lit("salt")), F.lit(SALTS)).cast("int")
+    names = [c for c in df.columns if c not in ("shard", "slot")]
 
-    def keyed(x: DataFrame) -> DataFrame:
-        return with_arc(x.withColumn("h", F.xxhash64(key)), places).withColumn("salt", salt)
+    def keyed(*columns: Column) -> DataFrame:
+        found = with_arc(df.select(F.xxhash64(key).alias("h"), *columns), places)
+        return found.withColumn("salt", F.pmod(F.xxhash64("h", F.lit("salt")), F.lit(SALTS)).cast("int"))
 
-    parts = keyed(df.select(key)).groupBy("arc", "salt").agg(F.count(F.lit(1)).alias("n"))
+    parts = keyed().groupBy("arc", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("arc").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("arc", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     arcs = sweep(parts.groupBy("arc").agg(F.sum("n").alias("n")), places, shards, slack)
     law = F.broadcast(starts.join(F.broadcast(arcs), "arc"))  # at most shards * nodes * SALTS rows
-    within = Window.partitionBy("arc", "salt").orderBy("h", *[c for c in df.columns if c != key][:4])
-    ranked = keyed(df).withColumn("rank", F.row_number().over(within)).join(law, ["arc", "salt"]).withColumn("rank", F.col("before") + F.col("rank") - 1)
+    rows = keyed(F.struct(*names).alias("row"))
+    within = Window.partitionBy("arc", "salt").orderBy("h", *(f"row.{c}" for c in names[:4]))
+    ranked = rows.withColumn("rank", F.row_number().over(within)).join(law, ["arc", "salt"]).withColumn("rank", F.col("before") + F.col("rank") - 1)
     queued = F.col("over") + F.col("rank") - F.col("keep")
     piece = F.get(F.filter("pieces", lambda t: (t.a <= queued) & (queued < t.b)), F.lit(0))
     own = F.col("rank") < F.col("keep")
-    return ranked.select(
-        *df.columns,
+    placed = ranked.select(
+        "row",
         F.when(own, F.col("own")).otherwise(piece.shard).cast("int").alias("shard"),
         F.when(own, F.col("own_slot") + F.col("rank")).otherwise(piece.slot + queued - piece.a).cast("long").alias("slot"),
     )
+    return placed.select("row.*", "shard", "slot")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
