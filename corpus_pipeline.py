@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenfold.llm import language, line_dedup, minhash_dedup, packing, toxicity
 from lumenfold.llm.common import scratch, table

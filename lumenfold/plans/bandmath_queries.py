@@ -23,7 +23,7 @@ def _add(name: str, query, sql: str) -> None:
     QUERIES[name], ORACLE[name] = query, f"WITH {SQL} {sql}"
 
 
-def _cube_query(name: str, expression: str, sql: str, with_ramp: bool = False) -> None:
+def _cube_query(name: str, expression: str, sql: str) -> None:
     """An expression over the cube c, its band b and the ramp s; ``sql`` gives a list from s, b3 and q."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
