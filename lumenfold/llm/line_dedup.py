@@ -84,13 +84,13 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     first = placed.groupBy("root", "tag").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "tag", F.col("first.uid").alias("u"), F.col("first.pos").alias("p"))
     dropped = placed.join(first, ["root", "tag"]).where("uid <> u OR pos <> p").groupBy("uid").agg(F.collect_list("pos").alias("drop"))
     field = F.col(f"doc.{text}")
-    parts = F.split(field, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drop")
-    found = docs.join(dropped, "uid", "left").withColumn("left", F.when(F.col("drop").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")).otherwise(field))
+    found = docs.join(dropped, "uid", "left").withColumn("parts", F.split(field, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drop")
+    found = found.withColumn("left", F.when(F.col("drop").isNotNull(), F.array_join(F.transform(left, lambda i: F.get(F.col("parts"), i)), "\n")).otherwise(field))
     new = {text: F.col("left"), **({"n_chars": F.length("left").cast("long")} if "n_chars" in names else {})}
     return found.select(
         *(new.get(c, F.col(f"doc.{c}")).alias(c) for c in names),
-        F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("parts"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"),
     )
 

@@ -5,9 +5,9 @@ Items are distinct texts, named by a 64-bit hash of their content, so that copie
 1. Each member of a bucket is compared with the bucket's smallest member (a star; never all pairs of a bucket).
 2. Verified links form components, by union-find within tasks and star contraction between them.
 3. A bucket whose members all lie in one component is done. In the others the pairs across components are verified
-   too and the components joined once more. Their members are dealt into blocks of bounded size, and a task counts
-   the shared shingles of two blocks by a matrix product, so that no row is made for a pair; of the buckets that two
-   members share, the one of the lowest band verifies them. So every pair that shares a bucket is either verified or
+   too and the components joined once more. Buckets with one smallest member are taken together, their members dealt
+   into blocks of bounded size, and a task compares two blocks by a matrix product, so that no row is made for a pair;
+   of the buckets that two members share, the one of the lowest band verifies them. So every pair that shares a bucket is either verified or
    already in one component: no link between candidates is lost.
 """
 
@@ -25,6 +25,8 @@ from lumenfold.llm.common import cut
 
 #: Members and characters of a block of a bucket.
 BLOCK, BLOCK_CHARS = 1024, 8_000_000
+#: Rows of small buckets that share a task's call, about.
+LOT = 4000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -119,7 +121,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.nd
             for i in range(batch.num_rows):
                 x, y = shingles(ta[i].as_py()), cached(tb[i].as_py())
                 if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = overlap(x, y)
                     hit[i] = both >= threshold * (len(x) + len(y) - both) > 0
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit)), batch.column("b").filter(pa.array(hit))], names=["a", "b"])
 
@@ -138,45 +140,79 @@ def linked(bands: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndar
 
     members = starred.select("bucket", "id").union(starred.select("bucket", F.col("rep").alias("id")).distinct())
     placed = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("c"))
-    sized = placed.join(texts.select("id", F.length("text").alias("chars")), "id")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("chars") / BLOCK_CHARS)).cast("int")
-    open_ = sized.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("c0 <> c1 AND n > 2").select("bucket", "blocks")
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("c0 <> c1 AND n > 2").select("bucket", "rep")
     rest = cut(placed.join(open_, "bucket"))
-    if rest.isEmpty():
+    size = rest.count()
+    if not size:
         return roots
-    again = cut(across(rest, texts, shingles, threshold))
+    again = cut(across(rest, size, texts, shingles, threshold))
     return roots if again.isEmpty() else cut(components(links.union(again)))
 
 
-def across(rest: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
-    """The verified pairs (a, b) of different components within buckets. rest: (bucket, id, c, blocks)."""
-    own = rest.groupBy("id", "c").agg(F.collect_list("bucket").alias("buckets")).join(texts, "id")  # at most one bucket for each band
+def across(rest: DataFrame, size: int, texts: DataFrame, shingles: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+    """The verified pairs (a, b) of different components within buckets. rest: (bucket, id, c, rep) with ``size`` rows."""
+    own = rest.groupBy("id").agg(F.collect_list(F.struct("bucket", "rep")).alias("buckets")).join(texts, "id")  # at most one bucket for each band
+    units = rest.select("rep", "id", "c").distinct()
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("chars") / BLOCK_CHARS)).cast("int")
+    sizes = units.join(texts.select("id", F.length("text").alias("chars")), "id").groupBy("rep").agg(blocks.alias("blocks"))
+    # units of one block share tasks by lots; each pair of blocks of a larger one is a task
+    lots = max(1, size // LOT)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = rest.select("bucket", "id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("bucket", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(own, "id")
+    cells = units.join(sizes, "rep").select("rep", "id", "c", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("rep"), F.lit(lots))).otherwise(F.col("rep"))
+    cells = cells.select("rep", "id", "c", lot.alias("lot"), (F.col("blocks") == 1).alias("small"), "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(own, "id")
 
-    def run(rows: pa.Table) -> pa.Table:
-        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        block, c, ids = (rows.column(x).to_numpy() for x in ("block", "c", "id"))
+    def unit(rep: int, low: int, high: int, block, c, ids, buckets, texts) -> list[tuple[int, int]]:
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        may = c[left][:, None] != c[right][None, :]
+        keys, mine = np.zeros((len(ids), 64), np.int64), np.zeros((len(ids), 64), bool)
+        for i, row in enumerate(buckets):
+            for x in row:
+                keys[i, x["bucket"] & 63] = x["bucket"]
+                mine[i, x["bucket"] & 63] = x["rep"] == rep
+        may, seen = np.zeros((len(left), len(right)), bool), np.zeros((len(left), len(right)), bool)
+        for k in np.flatnonzero((keys != 0).any(0)):
+            both = (keys[left, k][:, None] == keys[right, k]) & (keys[left, k] != 0)[:, None] & ~seen
+            may |= both & mine[left, k][:, None]
+            seen |= both
+        may &= c[left][:, None] != c[right]
         if low == high:
             may &= np.tri(len(left), k=-1, dtype=bool)
-        band = rows.column("bucket")[0].as_py() & 63
-        keys = np.zeros((rows.num_rows, 64), np.int64)
-        for i, x in enumerate(rows.column("buckets").to_pylist()):
-            keys[i, np.array(x) & 63] = x
-        for k in range(band):
-            may &= (keys[left, k][:, None] != keys[right, k][None, :]) | (keys[left, k][:, None] == 0)
-        hit = np.zeros((2, 0), np.int64)
-        if may.any():
-            sets = [shingles(x) for x in rows.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in sets])
-            both = shared(sets, left, right)
-            hit = np.stack(np.nonzero(may & (both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both)) & (both > 0)))
-        return pa.table([ids[left[hit[0]]], ids[right[hit[1]]]], names=["a", "b"])
-
-    return cells.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+        if not may.any():
+            return []
+        need = np.zeros(len(ids), bool)
+        need[left[may.any(1)]] = need[right[may.any(0)]] = True
+        none = np.zeros(0, np.uint64)
+        sets = [shingles(texts[i]) if need[i] else none for i in range(len(ids))]
+        a, b = np.nonzero(may)
+        if len(a) < 200:
+            common = np.array([overlap(sets[left[i]], sets[right[j]]) for i, j in zip(a, b, strict=True)])
+        else:
+            common = shared(sets, left, right)[a, b]
+        sizes = np.array([len(x) for x in sets])
+        hit = (common > 0) & (common >= threshold * (sizes[left[a]] + sizes[right[b]] - common))
+        return list(zip(ids[left[a[hit]]].tolist(), ids[right[b[hit]]].tolist(), strict=True))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep")
+        reps, low, high = rows.column("rep").to_numpy(), rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        block, c, ids = (rows.column(x).to_numpy() for x in ("block", "c", "id"))
+        starts = [*np.flatnonzero(np.diff(reps, prepend=reps[0] - 1)), len(reps)]
+        out = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            part = rows.slice(a, b - a)
+            out += unit(int(reps[a]), low, high, block[a:b], c[a:b], ids[a:b], part.column("buckets").to_pylist(), part.column("text").to_pylist())
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return cells.groupBy("lot", "small", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
 
 def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
