@@ -27,6 +27,8 @@ from lumenfold.llm.common import cut
 BLOCK, BLOCK_CHARS = 1024, 8_000_000
 #: Rows of small buckets that share a task's call, about.
 LOT = 4000
+#: Links that one task joins at last: some 100 MB there.
+FINISH = 500_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -92,10 +94,14 @@ def _forest(batches):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for each item with a link (a, b): the root is the smallest item of its component."""
+    """(id, root) for each item with a link (a, b): the root is the smallest item of its component.
+
+    Tasks reduce their links to forests; rounds of star contraction join these. Once the links left are few enough for
+    a task, one forest ends it.
+    """
     edges = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long"))
     state = None
-    while True:
+    while (n := edges.count()) > FINISH:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -106,6 +112,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    if n <= FINISH:
+        edges = cut(edges.coalesce(1).mapInArrow(_forest, "a long, b long"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 

@@ -292,7 +292,9 @@ def test_repeated_and_unnamed_documents(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(df).collect()) == [(0, ""), (4, ""), (4, "first line of text")]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [-1, 10, 500_000])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(neardup, "FINISH", finish)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 103), (103, 101), (55, 54)]
     random.Random(0).shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(6)
