@@ -40,11 +40,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def content_key(column: Column) -> Column:
-    """16 bytes of a SHA-256 of a string (null counts as empty)."""
-    return F.substring(F.unhex(F.sha2(F.coalesce(column, F.lit("")), 256)), 1, 16)
-
-
 def bounded_sample(df: DataFrame, on: Column, share: float) -> DataFrame:
     """The rows whose hash of ``on`` falls below ``share``: the same rows at any partitioning."""
     return df.where(F.pmod(F.xxhash64(on), F.lit(1_000_003)) < F.lit(int(min(1.0, share) * 1_000_003)))
