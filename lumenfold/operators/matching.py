@@ -96,13 +96,17 @@ def sff(pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], mode:
     targets = pixels.withColumn(spectrum, F.transform(flat(F.col(spectrum)), lambda v: F.coalesce(v, F.lit(0.0))))
     rows = with_library(targets, library).select(*keys, F.col(spectrum).alias("t"), F.inline("library"))
     pair = F.zip_with("t", "ref", lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"), b.isNotNull().alias("g")))
-    rows = rows.withColumn("p", pair)
-    add = lambda f: F.aggregate("p", F.lit(0.0), lambda s, p: s + f(p))
-    rows = rows.withColumn("scale", F.try_divide(add(lambda p: p.a * p.b), add(lambda p: p.b * p.b)))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  # a filter on the score would repeat named columns for every band
+    add = lambda pairs, f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))
     in_sum = (lambda p: F.lit(True)) if mode == "spectrum" else (lambda p: p.g)
-    error = add(lambda p: F.when(in_sum(p), (p.a - F.col("scale") * p.b) * (p.a - F.col("scale") * p.b)).otherwise(0.0))
-    score = F.sqrt(F.try_divide(error, F.size(F.filter("p", lambda p: p.g)).cast("double")))
-    out = rows.select(*keys, "ref_id", "scale", score.alias("score"))
+
+    def fitted(pairs: Column, scale: Column) -> Column:
+        error = add(pairs, lambda p: F.when(in_sum(p), (p.a - scale * p.b) * (p.a - scale * p.b)).otherwise(0.0))
+        return F.struct(scale.alias("scale"), F.sqrt(F.try_divide(error, F.size(F.filter(pairs, lambda p: p.g)).cast("double"))).alias("score"))
+
+    scale_of = lambda pairs: F.try_divide(add(pairs, lambda p: p.a * p.b), add(pairs, lambda p: p.b * p.b))
+    rows = rows.withColumn("fit", once(pair, lambda pairs: once(scale_of(pairs), lambda scale: fitted(pairs, scale))))
+    out = rows.select(*keys, "ref_id", "fit.scale", "fit.score")
     return out.withColumn("is_match", F.col("score") < max_rms if mode == "image" else F.col("score") <= max_rms)
 
 

@@ -60,6 +60,13 @@ def sam_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "ref_id", F.round("score", 3).alias("score"))
 
 
+@query(_DOTS + "SELECT vec_id, ref_id, round(score, 3) AS score FROM a WHERE score <= 90")
+def sam_spectrum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target spectrum against the library, matches up to a threshold."""
+    found = matching.sam(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), references(spark, sf_dir), mode="spectrum", threshold=90.0).where("is_match")
+    return found.select("vec_id", "ref_id", F.round("score", 3).alias("score"))
+
+
 @query(_DOTS + "SELECT y, x, arg_min(ref_id, score) AS ref_id, round(min(score), 3) AS score FROM a GROUP BY y, x")
 def sam_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.best_match(matching.sam(cube(spark, sf_dir), references(spark, sf_dir)))
@@ -109,6 +116,32 @@ def sff_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "ref_id", F.round("score", 5).alias("score"))
 
 
+def _lifted(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.transform(column, lambda v: v + 1.5))
+
+
+@query()
+def continuum_removal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bands of each pixel; SQL for the hull is cubic in the bands, so the tests hold it against highest chords."""
+    found = continuum.remove_continuum(_lifted(cube(spark, sf_dir), "spectrum"), WAVELENGTHS)
+    return raster.long(found).select("y", "x", "band", r6("value"))
+
+
+@query()
+def sff_image_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bands of each pixel and reference."""
+    pixels, refs = _lifted(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _lifted(references(spark, sf_dir), "ref")
+    return matching.sff(pixels, refs, WAVELENGTHS).select("vec_id", "ref_id", F.round("scale", 4).alias("scale"), F.round("score", 5).alias("score"))
+
+
+@query()
+def sff_spectrum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bands of every target spectrum and reference, matches up to a threshold."""
+    pixels, refs = _lifted(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _lifted(references(spark, sf_dir), "ref")
+    found = matching.sff(pixels, refs, WAVELENGTHS, mode="spectrum", max_rms=0.06).where("is_match")
+    return found.select("vec_id", "ref_id", F.round("score", 5).alias("score"))
+
+
 @query()
 def pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four components of each pixel; eigenvectors are beyond SQL, the tests hold them against numpy."""
