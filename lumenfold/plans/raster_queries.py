@@ -92,6 +92,13 @@ def mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.long(masked).select("y", "x", "band", r6("value"))
 
 
+@query("SELECT y, x, band, round(CASE WHEN band % 16 <> 15 AND abs(v - 0.1) > 1e-8 + 1e-5 * 0.1 THEN v END, 6) AS value FROM l")
+def mask_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of the table, whatever its label."""
+    masked = cube(spark, sf_dir).withColumn("spectrum", raster.mask_values(F.col("spectrum"), 0.1, GOOD))
+    return raster.long(masked).select("y", "x", "band", r6("value"))
+
+
 @query("SELECT (y // 4)::INT AS y, (x // 4)::INT AS x, round(avg(value), 6) AS value FROM i GROUP BY 1, 2")
 def downsample_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.downsample(image(spark, sf_dir), 4).select("y", "x", r6("value"))
@@ -306,6 +313,14 @@ def rotate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.rotate_nearest(band, 90.0, 1.0, 25, 20).select("y", "x", r6("value"))
 
 
+@query("SELECT (24 - x)::INT AS y, y AS x, round(s[4], 6) AS value FROM p")
+def rotate_nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter turn of the whole band; its height is the table's."""
+    band = raster.one_band(cube(spark, sf_dir), 3)
+    height = (band.agg(F.max("y")).first()[0] or 0) + 1
+    return geo.rotate_nearest(band, 90.0, 1.0, 25, height).select("y", "x", r6("value"))
+
+
 @query(
     """SELECT event_id, round((CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END) * (event_id % 180 + (event_id % 60) / 60.0::DOUBLE + (event_id % 50) / 3600.0::DOUBLE), 6) AS degrees FROM events""",
     with_inputs=False,
