@@ -1,10 +1,10 @@
 """MinHash near-deduplication with ProbMinHash.
 
-Five-word shingles of the whole text carry a weight, 1 + ln(count). Every shingle is a Poisson process whose rate is
-its weight: arrivals are drawn from its hash, each arrival lands in a random place of the signature, a place keeps
-the shingle that came first, and a shingle stops once its time is beyond the latest first arrival of the document.
-Two documents agree in a place with a probability equal to the probability Jaccard similarity of their weights (the
-plain Jaccard similarity where the weights are alike). Signatures are cut into bands, and candidates are verified by
+Every five-word shingle of the whole text is a Poisson process whose rate is its weight: arrivals are drawn from its
+hash, each arrival lands in a random place of the signature, a place keeps the shingle that came first, and a shingle
+stops once its time is beyond the latest first arrival of the document. Two documents agree in a place with a
+probability equal to the probability Jaccard similarity of their weights. Links are defined on shingle sets, so all
+shingles weigh the same here, however often they stand: then that is the plain Jaccard similarity. Signatures are cut into bands, and candidates are verified by
 the exact Jaccard similarity of their shingle sets (see ``neardup``).
 
 Defined results: texts without a word are near duplicates of equal texts only (null counts as empty); texts of fewer
@@ -92,18 +92,18 @@ def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
 
     def run(batches):
         for ids, texts in unseen(batches):
-            sets = [np.unique(all_shingles(x), return_counts=True) for x in texts]
-            some = np.array([len(h) > 0 for h, _ in sets])
+            sets = [shingles(x) for x in texts]
+            some = np.array([len(h) > 0 for h in sets])
             if some.any():
-                sets = [x for x in sets if len(x[0])]
+                sets = [x for x in sets if len(x)]
                 # few enough at a time for their signatures and shingles to stay in cache
                 ids, at = ids[some], 0
                 while at < len(sets):
                     end, held = at, 0
                     while end < len(sets) and (held < 60_000 or end == at):
-                        held += len(sets[end][0])
+                        held += len(sets[end])
                         end += 1
-                    minima = first_arrivals([h for h, _ in sets[at:end]], [1 + np.log(n) for _, n in sets[at:end]], rows * bands)
+                    minima = first_arrivals(sets[at:end], [np.ones(len(h)) for h in sets[at:end]], rows * bands)
                     yield band_rows(ids[at:end], minima, rows)
                     at = end
 
