@@ -3,8 +3,10 @@
 Subwords are the runs of two to four bytes inside words (with the word's edges), hashed into ``BUCKETS`` embeddings.
 A text is the mean of its subwords' embeddings; a linear softmax follows. Both are trained together by stochastic
 gradient descent in numpy, on a sample of labelled rows bounded by ``sample_rows``. A quarter of the sample is kept
-aside to fit a temperature (so that a score is a probability) and the least score of an accepted text, below which
-one in a thousand of the true languages' scores lie there. Each whole text is scored in the task that reads it; the
+aside to fit a temperature (so that a score is a probability) and what an accepted text must have: a least score, and
+a least share of subwords that were seen in training in the language it is told to be. One in a thousand of the rows
+kept aside that are told right lies below either. A text of no known language can have a high score, since some class
+is always ahead, but few of its subwords were seen. Each whole text is scored in the task that reads it; the
 model, embeddings times softmax weights, is a small table of fixed size.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and not accepted; with nothing to learn
@@ -54,10 +56,21 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     least: float
+    seen: np.ndarray  # the buckets that training saw in each language
+    known: float
 
-    def scores(self, text: str) -> np.ndarray:
+    def told(self, text: str) -> tuple[int, float, bool]:
+        """The language of a text, its score and whether it is accepted."""
         counts = subwords(text)
-        return softmax((counts @ self.weights / max(1.0, counts.sum()) + self.bias) / self.temperature)
+        scores = softmax((counts @ self.weights / max(1.0, counts.sum()) + self.bias) / self.temperature)
+        best = int(scores.argmax())
+        return best, float(scores[best]), bool(scores[best] >= self.least and known_share(counts @ self.seen[best], counts.sum()) >= self.known)
+
+
+def known_share(known, n):
+    """The share of ``n`` subwords that is known, with two deviations allowed for chance in short texts."""
+    n = np.maximum(1, n)
+    return known / n + 1 / np.sqrt(n)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -121,7 +134,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     x, y = np.zeros((len(rows), BUCKETS), np.float32), np.array([languages.index(r["lang"]) for r in rows])
     for i, r in enumerate(rows):
         x[i, r["at"]] = r["n"]
-    x /= np.maximum(1, x.sum(1, keepdims=True))
+    total = x.sum(1)
+    x /= np.maximum(1, total[:, None])
     aside = np.arange(len(rows)) % 4 == 3
     aside = aside if aside.any() else ~aside
     weights, bias = descend(x[~aside] if (~aside).any() else x, y[~aside] if (~aside).any() else y, len(languages))
@@ -131,8 +145,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
 
     temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
-    own = softmax(logits / temperature)[np.arange(len(truth)), truth]
-    return LanguageModel(languages, weights, bias, temperature, min(float(np.quantile(own, 0.001)), 0.5))
+    learned = ~aside if (~aside).any() else aside
+    seen = np.array([(x[learned & (y == k)] > 0).any(0) for k in range(len(languages))], np.float32)
+    right = logits.argmax(1) == truth
+    if not right.any():
+        return LanguageModel(languages, weights, bias, temperature, 0.5, seen, 0.0)
+    own = softmax(logits[right] / temperature).max(1)
+    share = known_share((x[aside][right] * seen[truth[right]]).sum(1) * total[aside][right], total[aside][right])
+    return LanguageModel(languages, weights, bias, temperature, min(float(np.quantile(own, 0.001)), 0.5), seen, float(np.quantile(share, 0.001)))
 
 
 def predict(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
@@ -144,9 +164,8 @@ def predict(df: DataFrame, model: LanguageModel | None, text: str = "text") -> D
     def one(value: str | None) -> tuple[str, float, bool]:
         if not value or model is None or not LETTER.search(value):
             return "und", 0.0, False
-        scores = model.scores(value)
-        best = int(scores.argmax())
-        return model.languages[best], float(scores[best]), bool(scores[best] >= model.least)
+        best, score, accepted = model.told(value)
+        return model.languages[best], score, accepted
 
     def run(batches):
         for batch in batches:
