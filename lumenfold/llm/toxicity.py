@@ -1,8 +1,9 @@
 """Toxicity as a severity grade, by cumulative-link ordinal regression on sparse text features.
 
-Features are words and beginnings of words that toxic labelled documents hold far more often than others, and after
-many different words: what stands in copies of one toxic document has the same word before it each time. They are
-found by counting over a sample of labelled documents bounded by ``sample_rows``. Labels tell toxic or not; toxic
+Features are words, beginnings of words and pairs of words that toxic labelled documents hold more often than others,
+in two documents at least and after two different words: what stands in copies of one toxic document has the same word
+before it each time, while a set phrase qualifies by its first pair. How many documents it takes beyond that follows
+from the chance of so many toxic ones among them, which depends on the sample. They are found by counting over a sample of labelled documents bounded by ``sample_rows``. Labels tell toxic or not; toxic
 documents of the sample are graded 1 to 3 by thirds of their number of such words, the others are grade 0. Features
 enter as logarithms of their counts. One weight
 for each feature is shared by the ordered thresholds: P(grade <= j) = logistic(threshold j - weights . features). The
@@ -29,6 +30,10 @@ from lumenfold.llm.common import bounded_sample, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
+#: How many times as often as others toxic documents hold a feature, at least; the fit weighs those beyond.
+RATIO = 5
+#: Minus the logarithm of the chance that a feature's documents are toxic by accident, at least.
+CHANCE = np.log(1000)
 
 
 def forms(word: str) -> list[str]:
@@ -39,7 +44,13 @@ def forms(word: str) -> list[str]:
 def contexts(text: str) -> set[tuple[str, str]]:
     """The features of a text, each with the words before it."""
     words = WORD.findall(text.lower())
-    return {(x, before) for before, word in zip(["", *words], words, strict=False) for x in forms(word)}
+    single = {(x, before) for before, word in zip(["", *words], words, strict=False) for x in forms(word)}
+    return single | {(f"{a} {b}", before) for before, a, b in zip(["", *words], words, words[1:], strict=False)}
+
+
+def features_of(text: str) -> set[str]:
+    words = WORD.findall(text.lower())
+    return {x for w in set(words) for x in forms(w)} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
 class Scanner:
@@ -48,24 +59,34 @@ class Scanner:
     def __init__(self, features: list[str]):
         import ahocorasick
 
-        self.size, found = len(features), {}
+        self.size, self.pairs, found = len(features), {}, {}
         for i, x in enumerate(features):
-            found.setdefault(x.rstrip("*"), []).append((i, not x.endswith("*")))
+            if " " in x:
+                self.pairs[x] = i
+                for w in x.split(" "):
+                    found.setdefault(w, [])
+            else:
+                found.setdefault(x.rstrip("*"), []).append((i, not x.endswith("*")))
         self.automaton = ahocorasick.Automaton()
         for x, uses in found.items():
-            self.automaton.add_word(x, (len(x), uses))
+            self.automaton.add_word(x, (x, uses))
         self.automaton.make_automaton()
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """The count of each feature, and of words with one."""
         text, out, last, hit = text.lower(), np.zeros(self.size, np.float32), -1, 0
-        n = len(text)
-        for end, (size, uses) in self.automaton.iter(text):
-            start = end + 1 - size
+        n, before, after = len(text), "", 0
+        for end, (word, uses) in self.automaton.iter(text):
+            start = end + 1 - len(word)
             if start and text[start - 1].isalpha():
                 continue
             ends = end + 1 == n or not text[end + 1].isalpha()
             used = [i for i, whole in uses if whole == ends]
+            if ends:
+                pair = self.pairs.get(f"{before} {word}")
+                if pair is not None and not any(text[i].isalpha() for i in range(after, start)):
+                    used.append(pair)
+                before, after = word, end + 1
             out[used] += 1
             if used and start != last:
                 hit, last = hit + 1, start
@@ -112,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 1000, ridge: float = 1e-3, ra
     return free[:k], free[k] + np.concatenate([[0], np.cumsum(np.exp(free[k + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 4000, candidates: int = 20_000, size: int = 200) -> SeverityModel | None:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 4000, candidates: int = 20_000, size: int = 1000) -> SeverityModel | None:
     marked = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(sizes) < 2:
@@ -130,17 +151,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     n1, n0 = (min(sample_rows / 2, sizes[t]) for t in (1, 0))
     counted = sample.where("toxic = 1").select("text").mapInArrow(seen, "feature string, before string, new int").groupBy("feature", "before").agg(F.sum("new").alias("docs"))
-    wide = counted.groupBy("feature").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("docs")).where(F.col("contexts") >= max(10, 0.02 * n1))
+    wide = counted.groupBy("feature").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("docs")).where("contexts >= 2 AND docs >= 2")
     of_toxic = {r["feature"]: r["docs"] for r in wide.orderBy(F.desc("docs"), "feature").limit(candidates).collect()}
 
     def others(batches):
         for batch in batches:
-            found = [x for d in batch.column("text").to_pylist() for x in {x for w in set(WORD.findall(d.lower())) for x in forms(w)} & of_toxic.keys()]
+            found = [x for d in batch.column("text").to_pylist() for x in features_of(d) & of_toxic.keys()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["feature"])
 
     of_others = dict(map(tuple, sample.where("toxic = 0").select("text").mapInArrow(others, "feature string").groupBy("feature").count().collect()))  # at most the candidates
-    best = [(-n, x) for x, n in of_toxic.items() if (n + 0.5) / n1 >= 20 * (of_others.get(x, 0) + 0.5) / n0]
-    features = sorted(x for _, x in sorted(best)[:size])
+    q = n1 / (n1 + n0)
+
+    def strength(n: float, k: float) -> float:
+        """Minus the logarithm of the chance (at most) that n of the n + k documents of a feature are toxic."""
+        return n * np.log(n / (q * (n + k))) + (k * np.log(k / ((1 - q) * (n + k))) if k else 0.0)
+
+    best = [(-strength(n, of_others.get(x, 0)), x) for x, n in of_toxic.items() if (n + 0.5) / n1 >= RATIO * (of_others.get(x, 0) + 0.5) / n0]
+    features = sorted(x for found, x in sorted(best)[:size] if -found >= CHANCE)
     if not features:
         return None
 
@@ -148,11 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         scanner = Scanner(features)
         for batch in batches:
             rows = [scanner.counts(d) for d in batch.column("text").to_pylist()]
-            own = [pa.array([x for x, _ in rows], pa.list_(pa.float32())), pa.array([n for _, n in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("toxic"), *own], names=["key", "toxic", "x", "hits"])
-
-    rows = sorted(sample.select("key", "toxic", "text").mapInArrow(rows_of, "key string, toxic int, x array<float>, hits long").limit(2 * sample_rows).collect())
-    x, toxic, hits = np.log1p(np.array([r["x"] for r in rows])), np.array([r["toxic"] for r in rows]), np.array([r["hits"] for r in rows])
+            at = [np.flatnonzero(x).astype(np.int32) for x, _ in rows]
+            own = [pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for i, (x, _) in zip(at, rows, strict=True)], pa.list_(pa.float32())), pa.array([n for _, n in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("toxic"), *own], names=["key", "toxic", "at", "n", "hits"])
+
+    rows = sorted(sample.select("key", "toxic", "text").mapInArrow(rows_of, "key string, toxic int, at array<int>, n array<float>, hits long").limit(2 * sample_rows).collect())
+    x, toxic, hits = np.zeros((len(rows), len(features))), np.array([r["toxic"] for r in rows]), np.array([r["hits"] for r in rows])
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = np.log1p(r["n"])
     if len(set(toxic.tolist())) < 2:
         return None
     of_toxic = hits[toxic == 1]
