@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is
+    unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None and (held := spark.sparkContext.getCheckpointDir()) is not None:
         found = held
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -40,6 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def identity(key: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits of a row's id and text; a null is none of the values. The same row has the same ones in every pass."""
+    own = (key.isNull(), key, text.isNull(), text)
+    return F.xxhash64(*own), F.xxhash64(F.lit(5), *own)
+
+
+def split_repeats(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """One row for each value of ``by``, and the other rows, if there are any. Only rows that repeat are stored."""
+    again = cut(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by))
+    if again.isEmpty():
+        return df, None
+    many = cut(df.join(again, by, "left_semi").withColumn("_number", F.monotonically_increasing_id()))
+    first = cut(many.groupBy(*by).agg(F.min("_number").alias("_first")))
+    many = many.join(first, by)
+    one, others = (many.where(c).select(df.columns) for c in ("_number = _first", "_number <> _first"))
+    return df.join(again, by, "left_anti").unionByName(one), others
+
+
 def bounded_sample(df: DataFrame, on: Column, share: float) -> DataFrame:
     """The rows whose hash of ``on`` falls below ``share``: the same rows at any partitioning."""
     return df.where(F.pmod(F.xxhash64(on), F.lit(1_000_003)) < F.lit(int(min(1.0, share) * 1_000_003)))

@@ -4,8 +4,8 @@ Every five-word shingle of the whole text is a Poisson process whose rate is its
 hash, each arrival lands in a random place of the signature, a place keeps the shingle that came first, and a shingle
 stops once its time is beyond the latest first arrival of the document. Two documents agree in a place with a
 probability equal to the probability Jaccard similarity of their weights. Links are defined on shingle sets, so all
-shingles weigh the same here, however often they stand: then that is the plain Jaccard similarity. Signatures are cut into bands, and candidates are verified by
-the exact Jaccard similarity of their shingle sets (see ``neardup``).
+shingles weigh the same here, however often they stand: then that is the plain Jaccard similarity. Signatures are cut
+into bands, and candidates are verified by the exact Jaccard similarity of their shingle sets (see ``neardup``).
 
 Defined results: texts without a word are near duplicates of equal texts only (null counts as empty); texts of fewer
 than five words have one shingle of all their words; of a class the row with the smallest id stays, a null id last;
@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut, table
-from lumenfold.llm.neardup import band_rows, linked, mixed, unseen
+from lumenfold.llm.common import cut, identity, split_repeats, table
+from lumenfold.llm.neardup import STAR, band_keys, linked, mixed, name_of, tied, unseen
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold meets in some band with probability 1 - (1 - 0.8 ** 7) ** 30 = 0.999.
@@ -66,6 +66,12 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(all_shingles(text))
 
 
+def family(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all texts, one after the other, and how many each has."""
+    found = [all_shingles(x) for x in texts]
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+
 def first_arrivals(sets: list[np.ndarray], weights: list[np.ndarray], places: int) -> np.ndarray:
     """The ProbMinHash signatures (a row of ``places`` hashes each) of non-empty sets of weighted hashes."""
     item = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -88,53 +94,56 @@ def first_arrivals(sets: list[np.ndarray], weights: list[np.ndarray], places: in
 
 
 def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(bucket, id) of each text of (id, text)."""
+    """The buckets of each text of (id, tag, text), in rows of ``neardup.tied``; without a tag the id is the name."""
+    items = items if "tag" in items.columns else items.withColumn("tag", F.lit(0).cast("long"))
 
-    def run(batches):
-        for ids, texts in unseen(batches):
+    def keys(batches):
+        for names, texts in unseen(batches):
             sets = [shingles(x) for x in texts]
             some = np.array([len(h) > 0 for h in sets])
-            if some.any():
-                sets = [x for x in sets if len(x)]
-                # few enough at a time for their signatures and shingles to stay in cache
-                ids, at = ids[some], 0
-                while at < len(sets):
-                    end, held = at, 0
-                    while end < len(sets) and (held < 60_000 or end == at):
-                        held += len(sets[end])
-                        end += 1
-                    minima = first_arrivals(sets[at:end], [np.ones(len(h)) for h in sets[at:end]], rows * bands)
-                    yield band_rows(ids[at:end], minima, rows)
-                    at = end
-
-    return items.mapInArrow(run, "bucket long, id long")
-
-
-def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float = THRESHOLD, with_uid: bool = False) -> DataFrame:
+            sets, names, at = [x for x in sets if len(x)], names[some], 0
+            # few enough at a time for their signatures and shingles to stay in cache
+            while at < len(sets):
+                end, held = at, 0
+                while end < len(sets) and (held < 60_000 or end == at):
+                    held += len(sets[end])
+                    end += 1
+                minima = first_arrivals(sets[at:end], [np.ones(len(h)) for h in sets[at:end]], rows * bands)
+                yield names[at:end], band_keys(minima, rows)
+                at = end
+
+    return items.mapInArrow(lambda batches: tied(keys(batches)), STAR)
+
+
+def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), threshold: float = THRESHOLD, with_identity: bool = False) -> DataFrame:
     """(key, *carry, class_id, class_size, kept) for each row; class_id is the key of the row that stays."""
     whole = F.coalesce(F.col(text), F.lit(""))
+    id_, tag = (c.alias(n) for c, n in zip(name_of(whole), ("id", "tag"), strict=True))
+    d1, d2 = (c.alias(n) for c, n in zip(identity(F.col(key), F.col(text)), ("d1", "d2"), strict=True))
     # written once: the numbers of rows must be the same wherever they are used
-    rows = cut(df.select(F.col(key).alias("own_key"), *(F.col(c).alias(f"own_{c}") for c in carry), F.xxhash64(whole).alias("id"), F.xxhash64(whole, F.lit(5)).alias("tag"), F.monotonically_increasing_id().alias("uid")))
-    items = df.select(F.xxhash64(whole).alias("id"), whole.alias("text"))
-    roots = linked(signed(items), items, shingles, threshold)
-    # an item with near duplicates is named by its root, any other by 128 bits of its text
-    placed = rows.join(roots, "id", "left").withColumn("tag", F.when(F.col("root").isNull(), F.col("tag"))).withColumn("root", F.coalesce("root", "id")).withColumn("tag", F.coalesce("tag", F.lit(0)))
+    rows = cut(df.select(F.col(key).alias("own_key"), *(F.col(c).alias(f"own_{c}") for c in carry), id_, tag, d1, d2, F.monotonically_increasing_id().alias("uid")))
+    items = df.select(id_, tag, whole.alias("text"))
+    roots = linked(signed(items), items, family, threshold)
+    # an item with near duplicates is named by its root, any other by itself
+    placed = rows.join(roots, ["id", "tag"], "left").withColumn("g2", F.when(F.col("root").isNull(), F.col("tag")).otherwise(0)).withColumn("g1", F.coalesce("root", "id"))
     order = F.struct(F.col("own_key").isNull().alias("none"), F.col("own_key").alias("key"), F.col("uid").alias("uid"))
-    classes = placed.groupBy("root", "tag").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(classes, ["root", "tag"]).select(
-        *(["uid"] if with_uid else []),
+    classes = cut(placed.groupBy("g1", "g2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))  # stored, so that Spark can split a hot class
+    return placed.join(classes, ["g1", "g2"], "left").select(
+        *(["d1", "d2"] if with_identity else []),
         F.col("own_key").alias(key),
         *(F.col(f"own_{c}").alias(c) for c in carry),
-        F.col("first.key").alias("class_id"),
-        "class_size",
-        (F.col("uid") == F.col("first.uid")).alias("kept"),
+        F.when(F.col("n").isNull(), F.col("own_key")).otherwise(F.col("first.key")).alias("class_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
+        (F.col("n").isNull() | (F.col("uid") == F.col("first.uid"))).alias("kept"),
     )
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that stay: one of each class. ``df`` must be stored, so that it has the same rows in the same order each time."""
-    kept = near_classes(df, text, key, threshold=threshold, with_uid=True).where("kept").select(F.col("uid").alias("__kept_uid"))
-    return df.withColumn("__kept_uid", F.monotonically_increasing_id()).join(kept, "__kept_uid", "left_semi").select(df.columns)
+    """The rows of ``df`` that stay: one of each class. They are found by their id and text; of rows alike in both one stays."""
+    kept = near_classes(df, text, key, threshold=threshold, with_identity=True).where("kept").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
+    d1, d2 = identity(F.col(key), F.col(text))
+    once, _ = split_repeats(df.withColumns({"_d1": d1, "_d2": d2}), ["_d1", "_d2"])
+    return once.join(kept, ["_d1", "_d2"], "left_semi").select(df.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

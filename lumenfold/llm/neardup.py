@@ -1,35 +1,51 @@
 """From candidate buckets to verified components: what the near-duplicate operators share.
 
-Items are distinct texts, named by a 64-bit hash of their content, so that copies are one item from the start.
+Items are distinct texts, named by 128 bits of their content (``id`` and ``tag``), so that copies are one item from
+the start. The items that share a bucket with another get numbers, from which on names can't collide at all.
 
-1. Each member of a bucket is compared with the bucket's smallest member (a star; never all pairs of a bucket).
+1. Each member of a bucket is compared with the bucket's smallest member (a star; never all pairs of a bucket). Where
+   texts are signed, the members that a task holds of a bucket are tied to their smallest one, and only this one is
+   shuffled to the bucket: a hot bucket gets a row from each task, not one from each member.
 2. Verified links form components, by union-find within tasks and star contraction between them.
 3. A bucket whose members all lie in one component is done. In the others the pairs across components are verified
-   too and the components joined once more. Buckets with one smallest member are taken together, their members dealt
-   into blocks of bounded size, and a task compares two blocks by a matrix product, so that no row is made for a pair;
-   of the buckets that two members share, the one of the lowest band verifies them. So every pair that shares a bucket is either verified or
-   already in one component: no link between candidates is lost.
+   too and the components joined once more. Buckets with one smallest member are taken together and their members
+   dealt into blocks of bounded size, a large component into blocks of its own that don't meet each other; a task
+   compares two blocks by a matrix product, so that no row is made for a pair; of the buckets that two members share,
+   the one of the lowest band verifies them. So every pair that shares a bucket is either verified or already in one
+   component: no link between candidates is lost.
+
+A family of shingles is a function from texts to (hashes, how many each text has), with repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut
 
-#: Members and characters of a block of a bucket.
-BLOCK, BLOCK_CHARS = 1024, 8_000_000
-#: Rows of small buckets that share a task's call, about.
-LOT = 4000
-#: Links that one task joins at last: some 100 MB there.
+Family = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+#: Members and characters of a block of a bucket, and characters of small buckets that share a task's call.
+BLOCK, BLOCK_CHARS, LOT_CHARS = 1024, 1_000_000, 1_000_000
+#: Characters that are signed or verified at a time, and band rows that a task holds before it ties them.
+CHUNK, HELD = 400_000, 400_000
+#: Texts of a chunk at most; a text's number takes the 16 high bits of a key, its shingle the 48 low ones.
+TEXTS, LOW = 1 << 16, np.uint64((1 << 48) - 1)
+#: Links that one task joins at last, 16 bytes each; more are joined by rounds of star contraction first.
 FINISH = 500_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+STAR = "bucket long, id long, tag long, rid long, rtag long"
+
+
+def name_of(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text. The seed comes first: a hash that ends with it would follow from the other one."""
+    return F.xxhash64(text), F.xxhash64(F.lit(5), text)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,30 +55,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def band_rows(ids: np.ndarray, minima: np.ndarray, rows: int) -> pa.RecordBatch:
-    """(bucket, id) for each item and band; ``minima`` has a row of rows * bands values for each item."""
-    values = minima.astype(np.uint64).reshape(len(ids), -1, rows)
+def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
+    """The bucket of each item (a row of rows * bands values) in each band; the band stands in the low bits."""
+    values = minima.astype(np.uint64).reshape(len(minima), -1, rows)
     keys = np.broadcast_to(np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), values.shape[:2]).copy()
     for i in range(rows):
         keys = mixed(keys ^ values[:, :, i]) + np.uint64(0x9E3779B97F4A7C15)
-    keys = keys & ~np.uint64(63) | np.arange(values.shape[1], dtype=np.uint64)  # the band in the low bits
-    return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, values.shape[1]))], names=["bucket", "id"])
+    return (keys & ~np.uint64(63) | np.arange(values.shape[1], dtype=np.uint64)).view(np.int64)
 
 
-def unseen(batches, limit: int = 500_000):
-    """(ids, texts) of a task's items without those it has just had: a hot item is signed once in a task."""
+def unseen(batches, limit: int = 100_000):
+    """(names, texts) of a task's items without those it has just had: a hot item is signed once in a task."""
     seen: set[int] = set()
     for batch in batches:
-        ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text")
+        ids, tags, texts = batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")
         own, held, out = [], [], 0
-        for i, x in enumerate(ids.tolist()):
-            if x not in seen:
-                seen.add(x)
+        for i, x in enumerate(zip(ids, tags, strict=True)):
+            if (key := x[0] << 64 ^ x[1]) not in seen:
+                seen.add(key)
                 text = texts[i].as_py()
                 own.append(x)
                 held.append(text)
                 out += len(text)
-                if out > 500_000:
+                if out > CHUNK:
                     yield np.array(own, np.int64), held
                     own, held, out = [], [], 0
         if own:
@@ -71,26 +86,104 @@ def unseen(batches, limit: int = 500_000):
             seen.clear()
 
 
-def _forest(batches):
+def ties(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of rows whose bucket repeats, and for each that of the smallest (a, b) of its bucket."""
+    order = np.argsort(bucket)
+    same = np.diff(bucket[order], prepend=0, append=0) == 0
+    same[[0, -1]] = False
+    at = order[same[1:] | same[:-1]] if len(bucket) else order
+    at = at[np.lexsort((b[at], a[at], bucket[at]))]
+    new = np.diff(bucket[at], prepend=0) != 0
+    new[:1] = True
+    return at, at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+
+
+def _stars(bucket: np.ndarray, name: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Rows that tie members (places ``at``) to others of their buckets (places ``first``)."""
+    columns = (bucket[at], name[at, 0], name[at, 1], name[first, 0], name[first, 1])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=pa.schema([(n.split()[0], pa.int64()) for n in STAR.split(", ")]))
+
+
+def tied(parts):
+    """Batches of STAR from (names, buckets of each name) parts: rows without ``rid`` go to their bucket, others are
+    tied already."""
+    names, keys, held = [], [], 0
+
+    def out():
+        bucket = np.concatenate([k.reshape(-1) for k in keys])
+        name = np.concatenate([np.repeat(n, k.shape[1], 0) for n, k in zip(names, keys, strict=True)])
+        at, first = ties(bucket, name[:, 0], name[:, 1])
+        member = at != first
+        other = member & (name[at] != name[first]).any(1)
+        yield _stars(bucket, name, at[other], first[other])
+        alone = np.ones(len(bucket), bool)
+        alone[at[member]] = False
+        none = pa.nulls(int(alone.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[alone]), pa.array(name[alone, 0]), pa.array(name[alone, 1]), none, none], names=["bucket", "id", "tag", "rid", "rtag"])
+
+    for n, k in parts:
+        names.append(n)
+        keys.append(k)
+        held += k.size
+        if held >= HELD:
+            yield from out()
+            names, keys, held = [], [], 0
+    if held:
+        yield from out()
+
+
+def _meet(batches):
+    """The rows of a partition of buckets: ties pass, the others are tied to the smallest of their bucket."""
+    held = []
+    for batch in batches:
+        loose = batch.column("rid").is_null()
+        if (rest := batch.filter(loose)).num_rows:
+            held.append(np.stack([rest.column(c).to_numpy() for c in ("bucket", "id", "tag")]))
+        if rest.num_rows < batch.num_rows:
+            yield batch.filter(pa.compute.invert(loose))
+    if held:
+        bucket, a, b = np.concatenate(held, 1)
+        held.clear()
+        at, first = ties(bucket, a, b)
+        other = (a[at] != a[first]) | (b[at] != b[first])
+        at, first, name = at[other], first[other], np.stack([a, b], 1)
+        for i in range(0, len(at), 100_000):
+            yield _stars(bucket, name, at[i : i + 100_000], first[i : i + 100_000])
+
+
+def least_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For 0 to n - 1 the smallest of its component under the links (a, b)."""
+    parent = np.arange(n)
+    while len(a):
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+        a, b = parent[a], parent[b]
+        a, b = a[go := a != b], b[go]
+    return parent
+
+
+def _forest(batches, limit: int = 1_000_000):
     """The links of a task as links from each item to the smallest of its component there."""
-    parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
+    def reduced(a, b):
+        items, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = least_roots(at[: len(a)], at[len(a) :], len(items))
+        up = root != np.arange(len(items))
+        return items[up], items[root[up]]
 
+    held, n = [], 0
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    items = list(parent)
-    roots = [root(x) for x in items]
-    pairs = [(x, r) for x, r in zip(items, roots, strict=True) if x != r]
-    for i in range(0, len(pairs), 100_000):
-        a, b = zip(*pairs[i : i + 100_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n > limit:
+            held = [reduced(*map(np.concatenate, zip(*held, strict=True)))]
+            n = len(held[0][0])
+            limit = max(limit, 2 * n)
+    if n:
+        a, b = reduced(*map(np.concatenate, zip(*held, strict=True)))
+        for i in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -103,11 +196,11 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while (n := edges.count()) > FINISH:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # stored, so that Spark can split a hub
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small.where("a <> b"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        edges = cut(small.where("a <> b").distinct().mapInArrow(_forest, "a long, b long").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -117,60 +210,116 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (sorted distinct hashes of the whole texts) have so large a Jaccard similarity."""
-    wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def unique_keys(texts: list[str], family: Family) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of some texts as sorted keys (number of the text, 48 bits of the hash), and where each text's begin; fewer than TEXTS of them."""
+    values, sizes = family(texts)
+    keys = np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(48), sizes) | values >> np.uint64(16)
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return keys, np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(48))
+
+
+def common(keys: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """How many shingles the texts left[i] and right[i] share."""
+    size = np.diff(start)
+    out, done, ends = np.zeros(len(left), np.int64), 0, np.cumsum(size[left] + size[right])
+    while done < len(left):
+        end = max(done + 1, min(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most)), done + TEXTS))
+        parts = []
+        for x in (left[done:end], right[done:end]):
+            n = size[x]
+            at = np.arange(n.sum()) + np.repeat(start[x] - np.cumsum(n) + n, n)
+            parts.append(np.repeat(np.arange(end - done, dtype=np.uint64) << np.uint64(48), n) | keys[at] & LOW)
+        both = np.concatenate(parts)
+        both.sort()
+        hit = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
+        out[done:end] = np.bincount(hit.astype(np.int64), minlength=end - done)
+        done = end
+    return out
+
+
+def similar(both: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of sizes x and y that share so much have the Jaccard similarity; empty sets have none."""
+    return (both > 0) & (both >= threshold * (x + y - both))
+
+
+def verified(pairs: DataFrame, family: Family, threshold: float) -> DataFrame:
+    """The pairs (a, b) of (a, b, ta, tb) whose shingle sets (of the whole texts) have so large a Jaccard similarity."""
 
     def run(batches):
-        cached = lru_cache(64)(shingles)  # a star's centre comes many times
         for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            ta, tb = batch.column("ta"), batch.column("tb")
-            for i in range(batch.num_rows):
-                x, y = shingles(ta[i].as_py()), cached(tb[i].as_py())
-                if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    both = overlap(x, y)
-                    hit[i] = both >= threshold * (len(x) + len(y) - both) > 0
+            names, texts = [batch.column("a").to_numpy(), batch.column("b").to_numpy()], [batch.column("ta"), batch.column("tb")]
+            hit, done = np.zeros(batch.num_rows, bool), 0
+            while done < batch.num_rows:
+                at, held, chars, end = {}, [], 0, done  # a star's centre comes many times
+                places = []
+                while end < batch.num_rows and chars < CHUNK and len(held) < TEXTS - 2:
+                    for n, t in zip(names, texts, strict=True):
+                        if (place := at.setdefault(int(n[end]), len(held))) == len(held):
+                            held.append(t[end].as_py())
+                            chars += len(held[-1])
+                        places.append(place)
+                    end += 1
+                left, right = np.array(places).reshape(-1, 2).T
+                keys, start = unique_keys(held, family)
+                size = np.diff(start)
+                hit[done:end] = similar(common(keys, start, left, right), size[left], size[right], threshold)
+                done = end
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit)), batch.column("b").filter(pa.array(hit))], names=["a", "b"])
 
-    return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def linked(bands: DataFrame, items: DataFrame, shingles: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
-    """(id, root) for the items that have a near duplicate. bands: (bucket, id); items: (id, text), where ids may repeat."""
-    first = Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starred = cut(bands.withColumn("rep", F.first("id").over(first)).where("id <> rep").distinct())
-    ids = starred.select("id").union(starred.select("rep")).distinct()
-    texts = cut(items.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    stars = starred.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(verified(stars, texts, shingles, threshold))
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def linked(bands: DataFrame, items: DataFrame, family: Family, threshold: float) -> DataFrame:
+    """(id, tag, root) for the items that have a near duplicate. bands: rows of ``tied``; items: (id, tag, text), where names may repeat."""
+    at = F.when(F.col("rid").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "id", "tag"))
+    starred = cut(bands.repartition(at).mapInArrow(_meet, STAR))
+    reps = starred.select(F.col("rid").alias("id"), F.col("rtag").alias("tag"))
+    names = starred.select("id", "tag").union(reps).distinct()
+    # copies are collapsed before they are shuffled
+    whole = items.groupBy("id", "tag").agg(F.first("text").alias("text"))
+    texts = cut(whole.join(names, ["id", "tag"], "left_semi").withColumn("n", F.monotonically_increasing_id()))
+    own = texts.select("id", "tag", F.col("n").alias("a"), F.col("text").alias("ta"))
+    centre = texts.select(F.col("id").alias("rid"), F.col("tag").alias("rtag"), F.col("n").alias("b"), F.col("text").alias("tb"))
+    links = cut(verified(starred.drop("bucket").distinct().join(own, ["id", "tag"]).join(centre, ["rid", "rtag"]), family, threshold))
     roots = cut(components(links))
 
-    members = starred.select("bucket", "id").union(starred.select("bucket", F.col("rep").alias("id")).distinct())
-    placed = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("c0 <> c1 AND n > 2").select("bucket", "rep")
+    named = texts.select("id", "tag", "n")
+    members = starred.select("bucket", "id", "tag").union(starred.select("bucket", "rid", "rtag")).distinct()
+    placed = members.join(named, ["id", "tag"]).join(roots.withColumnRenamed("id", "n"), "n", "left").select("bucket", F.col("n").alias("id"), F.coalesce("root", "n").alias("c"))
+    placed = cut(placed)
+    open_ = cut(placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("c0 <> c1 AND n > 2").select("bucket", "rep"))
     rest = cut(placed.join(open_, "bucket"))
-    size = rest.count()
-    if not size:
-        return roots
-    again = cut(across(rest, size, texts, shingles, threshold))
-    return roots if again.isEmpty() else cut(components(links.union(again)))
+    if not rest.isEmpty():
+        again = cut(across(rest, texts.select(F.col("n").alias("id"), "text"), family, threshold))
+        if not again.isEmpty():
+            roots = cut(components(links.union(again)))
+    return named.join(roots.withColumnRenamed("id", "n"), "n").select("id", "tag", "root")
 
 
-def across(rest: DataFrame, size: int, texts: DataFrame, shingles: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
-    """The verified pairs (a, b) of different components within buckets. rest: (bucket, id, c, rep) with ``size`` rows."""
+def across(rest: DataFrame, texts: DataFrame, family: Family, threshold: float) -> DataFrame:
+    """The verified pairs (a, b) of different components within buckets. rest: (bucket, id, c, rep); texts: (id, text)."""
     own = rest.groupBy("id").agg(F.collect_list(F.struct("bucket", "rep")).alias("buckets")).join(texts, "id")  # at most one bucket for each band
-    units = rest.select("rep", "id", "c").distinct()
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("chars") / BLOCK_CHARS)).cast("int")
-    sizes = units.join(texts.select("id", F.length("text").alias("chars")), "id").groupBy("rep").agg(blocks.alias("blocks"))
+    sized = texts.select("id", F.length("text").alias("chars"))
+    units = cut(rest.select("rep", "id", "c").distinct().join(sized, "id"))
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("chars") / BLOCK_CHARS)
+    # a component that fills half a block has blocks of its own, the others of a bucket share theirs
+    parts = units.groupBy("rep", "c").agg(weight.alias("w")).withColumn("g", F.when(F.col("w") >= 0.5, F.col("c")))
+    groups = parts.groupBy("rep", "g").agg(F.ceil(F.sum("w")).cast("int").alias("blocks"))
+    layout = groups.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "blocks"))).alias("groups"))  # an entry for each half block at most
+    base = F.aggregate(F.filter("groups", lambda x: ~x.g.eqNullSafe(F.col("g")) & (x.g.isNull() | F.coalesce(x.g < F.col("g"), F.lit(False)))), F.lit(0), lambda s, x: s + x.blocks)
+    mine = F.filter("groups", lambda x: x.g.eqNullSafe(F.col("g")))[0].blocks
+    total = F.aggregate("groups", F.lit(0), lambda s, x: s + x.blocks)
+    placed = units.join(parts.select("rep", "c", "g"), ["rep", "c"]).join(layout, "rep").select("rep", "id", "c", "g", "chars", base.alias("base"), mine.alias("mine"), total.alias("blocks"))
+    placed = placed.withColumn("block", F.col("base") + F.pmod(F.xxhash64("id"), F.col("mine")).cast("int"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.col("g").isNull() | (i < F.col("base")) | (i >= F.col("base") + F.col("mine"))))
     # units of one block share tasks by lots; each pair of blocks of a larger one is a task
-    lots = max(1, size // LOT)
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = units.join(sizes, "rep").select("rep", "id", "c", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    lots = max(1, int((placed.where("blocks = 1").agg(F.sum("chars")).first()[0] or 0) // LOT_CHARS))
     lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("rep"), F.lit(lots))).otherwise(F.col("rep"))
+    cells = placed.select("rep", "id", "c", "blocks", "block", other.alias("other"))
     cells = cells.select("rep", "id", "c", lot.alias("lot"), (F.col("blocks") == 1).alias("small"), "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(own, "id")
 
-    def unit(rep: int, low: int, high: int, block, c, ids, buckets, texts) -> list[tuple[int, int]]:
+    def unit(rep: int, low: int, high: int, block, c, ids, buckets, texts) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         keys, mine = np.zeros((len(ids), 64), np.int64), np.zeros((len(ids), 64), bool)
         for i, row in enumerate(buckets):
@@ -186,55 +335,45 @@ def across(rest: DataFrame, size: int, texts: DataFrame, shingles: Callable[[str
         if low == high:
             may &= np.tri(len(left), k=-1, dtype=bool)
         if not may.any():
-            return []
+            return ids[:0], ids[:0]
         need = np.zeros(len(ids), bool)
         need[left[may.any(1)]] = need[right[may.any(0)]] = True
-        none = np.zeros(0, np.uint64)
-        sets = [shingles(texts[i]) if need[i] else none for i in range(len(ids))]
+        place = np.cumsum(need) - 1
+        shingles, start = unique_keys([texts[i] for i in np.flatnonzero(need)], family)
         a, b = np.nonzero(may)
-        if len(a) < 200:
-            common = np.array([overlap(sets[left[i]], sets[right[j]]) for i, j in zip(a, b, strict=True)])
-        else:
-            common = shared(sets, left, right)[a, b]
-        sizes = np.array([len(x) for x in sets])
-        hit = (common > 0) & (common >= threshold * (sizes[left[a]] + sizes[right[b]] - common))
-        return list(zip(ids[left[a[hit]]].tolist(), ids[right[b[hit]]].tolist(), strict=True))
+        a, b = left[a], right[b]
+        met = common(shingles, start, place[a], place[b]) if len(a) < 4 * len(ids) else shared(shingles, start, place[a], place[b])
+        size = np.diff(start)
+        hit = similar(met, size[place[a]], size[place[b]], threshold)
+        return ids[a[hit]], ids[b[hit]]
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rep")
         reps, low, high = rows.column("rep").to_numpy(), rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         block, c, ids = (rows.column(x).to_numpy() for x in ("block", "c", "id"))
-        starts = [*np.flatnonzero(np.diff(reps, prepend=reps[0] - 1)), len(reps)]
+        starts = [*np.flatnonzero(np.concatenate([[True], np.diff(reps) != 0])), len(reps)]
         out = []
         for a, b in zip(starts, starts[1:], strict=False):
             part = rows.slice(a, b - a)
-            out += unit(int(reps[a]), low, high, block[a:b], c[a:b], ids[a:b], part.column("buckets").to_pylist(), part.column("text").to_pylist())
-        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+            out.append(unit(int(reps[a]), low, high, block[a:b], c[a:b], ids[a:b], part.column("buckets").to_pylist(), part.column("text").to_pylist()))
+        return pa.table([pa.array(np.concatenate([x[i] for x in out])) for i in (0, 1)], names=["a", "b"])
 
     return cells.groupBy("lot", "small", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """How many values two sorted sets share."""
-    if not len(x) or not len(y):
-        return 0
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
-
-
-def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
-    """How many hashes each set of ``left`` shares with each of ``right``."""
-    item = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = count > 1
-    item, at = item[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
-    order = np.argsort(at, kind="stable")
-    item, at = item[order], at[order]
-    both = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, int(often.sum()), columns):
-        a, b = np.searchsorted(at, [start, start + columns])
-        x = np.zeros((len(sets), columns), np.float32)
-        x[item[a:b], at[a:b] - start] = 1
-        both += x[left] @ x[right].T
-    return both
+def shared(keys: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """What ``common`` gives, for many pairs of few texts: by a matrix product of texts and shingles."""
+    n = len(start) - 1
+    item, order = (keys >> np.uint64(48)).astype(np.int64), np.argsort(keys & LOW, kind="stable")
+    value, item = (keys & LOW)[order], item[order]
+    often = np.diff(value, prepend=value[:1] - np.uint64(1)) == 0
+    often[:-1] |= often[1:]  # of several texts
+    item, value = item[often], value[often]
+    at = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+    both = np.zeros((n, n), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        i, j = np.searchsorted(at, [first, first + columns])
+        x = np.zeros((n, columns), np.float32)
+        x[item[i:j], at[i:j] - first] = 1
+        both += x @ x.T
+    return both[a, b].astype(np.int64)
