@@ -37,10 +37,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Has Spark remove an action's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut there; Spark's cleaner removes it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once into the shared folder, with its lineage cut there; Spark's cleaner removes it.
+
+    Its shuffle files go at once, since nothing can ask for them any more; so ``df`` itself isn't used again.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def identity(key: Column, text: Column) -> tuple[Column, Column]:
