@@ -44,14 +44,14 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder, with its lineage cut there; Spark's cleaner removes it.
 
-    Its shuffle files go at once, since nothing can ask for them any more; so ``df`` itself isn't used again.
+    Its shuffle files go at once, since nothing can ask for them any more.
     """
     spark = df.sparkSession
     shared_dir(spark)
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # an action keeps the setting under which its frame was made
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
