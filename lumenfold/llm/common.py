@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,32 @@ def scratch(spark: SparkSession, name: str) -> str:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, with its lineage cut there; Spark's cleaner removes it.
-
-    Its shuffle files go at once, since nothing can ask for them any more.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """An action on a frame made inside leaves no shuffle files: nothing can ask for them any more."""
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # an action keeps the setting under which its frame was made
+        yield
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, with its lineage cut there; Spark's cleaner removes it."""
+    shared_dir(df.sparkSession)
+    with _shuffles_go(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, which is smaller and quicker to read again; it stays in the shared folder."""
+    spark, at = df.sparkSession, scratch(df.sparkSession, "stored")
+    with _shuffles_go(spark):
+        df.select("*").write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def identity(key: Column, text: Column) -> tuple[Column, Column]:
     """128 bits of a row's id and text; a null is none of the values. The same row has the same ones in every pass."""
     own = (key.isNull(), key, text.isNull(), text)

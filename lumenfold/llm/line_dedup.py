@@ -21,12 +21,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut, identity, split_repeats, table
-from lumenfold.llm.neardup import STAR, band_keys, linked, mixed, name_of, tied, unseen
+from lumenfold.llm.common import cut, identity, split_repeats, stored, table
+from lumenfold.llm.neardup import band_keys, linked, mixed, name_of, unseen
 
 WIDTH, THRESHOLD = 8, 0.8
 #: A pair at the threshold meets in some band with probability 1 - (1 - 0.8 ** 4) ** 14 = 0.9994.
 ROWS, BANDS = 4, 14
+#: A line of these only is blank.
+BLANKS = " \t\x0b\f\r"
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -55,8 +57,8 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return every[inside], sizes - WIDTH + 1
 
 
-def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """The buckets of each line of (id, tag, text), in rows of ``neardup.tied``."""
+def signatures(rows: int = ROWS, bands: int = BANDS):
+    """From batches of (id, tag, text) to (names, buckets of each name)."""
     draw = np.random.default_rng(29)
     factors = draw.integers(0, 1 << 31, rows * bands, np.uint32) * np.uint32(2) + np.uint32(1)
     shifts = draw.integers(0, 1 << 32, rows * bands, np.uint32)
@@ -73,7 +75,7 @@ def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
                 np.minimum.reduceat(moved, starts, out=minima[j])
             yield names, band_keys(minima.T, rows)
 
-    return items.mapInArrow(lambda batches: tied(keys(batches)), STAR)
+    return keys
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -81,14 +83,15 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     d1, d2 = identity(F.col(key), F.col(text))
     lines = df.select(F.col(key).alias("key"), F.col(text).alias("whole"), d1.alias("d1"), d2.alias("d2"))
-    lines = lines.select("key", "d1", "d2", F.posexplode(F.split("whole", "\n")).alias("pos", "text")).where(r"text RLIKE '\\S'")
     id_, tag = name_of(F.col("text"))
-    items = lines.select(id_.alias("id"), tag.alias("tag"), "text")
-    roots = linked(signed(items), items, shingles, threshold)
+    lines = lines.select("key", "d1", "d2", F.posexplode(F.split("whole", "\n")).alias("pos", "text")).where(F.ltrim("text", F.lit(BLANKS)) != "")
+    lines = lines.select("key", "d1", "d2", "pos", id_.alias("id"), tag.alias("tag"), "text")
+    items = lines.select("id", "tag", "text")
+    roots = linked(items, signatures(), shingles, threshold)
 
     # a line with near duplicates is named by its root, any other by itself
-    occurrences = lines.select("key", "d1", "d2", "pos", id_.alias("id"), tag.alias("tag")).join(roots.hint("shuffle_hash"), ["id", "tag"], "left")
-    occurrences = occurrences.select("key", "d1", "d2", "pos", F.coalesce("root", "id").alias("g1"), F.when(F.col("root").isNull(), F.col("tag")).otherwise(0).alias("g2"))
+    occurrences = lines.drop("text").join(roots.hint("shuffle_hash"), ["id", "tag"], "left")
+    occurrences = stored(occurrences.select("key", "d1", "d2", "pos", F.coalesce("root", "id").alias("g1"), F.when(F.col("root").isNull(), F.col("tag")).otherwise(0).alias("g2")))
     order = F.struct(F.col("key").isNull().alias("none"), "key", "d1", "d2", "pos")
     first = occurrences.groupBy("g1", "g2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = cut(first.select("g1", "g2", F.col("first.d1").alias("f1"), F.col("first.d2").alias("f2"), F.col("first.pos").alias("p")))  # stored, so that Spark can split a hot line
@@ -98,7 +101,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     once, later = split_repeats(df.select(F.struct(*names).alias("doc"), d1.alias("d1"), d2.alias("d2")), ["d1", "d2"])
     found = once.join(dropped.hint("shuffle_hash"), ["d1", "d2"], "left").select("doc", F.split(f"doc.{text}", "\n").alias("parts"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     if later is not None:
-        blank: Column = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get(F.col("parts"), i).rlike(r"\S"))
+        blank: Column = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.ltrim(F.get(F.col("parts"), i), F.lit(BLANKS)) != "")
         found = found.union(later.select("doc", F.split(f"doc.{text}", "\n").alias("parts")).select("doc", "parts", F.coalesce(blank, F.array().cast("array<int>")).alias("drop")))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drop"), lambda i: F.get(F.col("parts"), i))
     field = F.when(F.size("drop") > 0, F.array_join(left, "\n")).otherwise(F.col(f"doc.{text}"))

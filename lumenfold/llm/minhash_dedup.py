@@ -93,9 +93,8 @@ def first_arrivals(sets: list[np.ndarray], weights: list[np.ndarray], places: in
     return out.reshape(-1, places)
 
 
-def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """The buckets of each text of (id, tag, text), in rows of ``neardup.tied``; without a tag the id is the name."""
-    items = items if "tag" in items.columns else items.withColumn("tag", F.lit(0).cast("long"))
+def signatures(rows: int = ROWS, bands: int = BANDS):
+    """From batches of (id, tag, text) to (names, buckets of each name)."""
 
     def keys(batches):
         for names, texts in unseen(batches):
@@ -112,6 +111,13 @@ def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
                 yield names[at:end], band_keys(minima, rows)
                 at = end
 
+    return keys
+
+
+def signed(items: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """The buckets of each text of (id, tag, text), in rows of ``neardup.tied``; without a tag the id is the name."""
+    items = items if "tag" in items.columns else items.withColumn("tag", F.lit(0).cast("long"))
+    keys = signatures(rows, bands)
     return items.mapInArrow(lambda batches: tied(keys(batches)), STAR)
 
 
@@ -123,7 +129,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", carry:
     # written once: the numbers of rows must be the same wherever they are used
     rows = cut(df.select(F.col(key).alias("own_key"), *(F.col(c).alias(f"own_{c}") for c in carry), id_, tag, d1, d2, F.monotonically_increasing_id().alias("uid")))
     items = df.select(id_, tag, whole.alias("text"))
-    roots = linked(signed(items), items, family, threshold)
+    roots = linked(items, signatures(), family, threshold)
     # an item with near duplicates is named by its root, any other by itself
     placed = rows.join(roots, ["id", "tag"], "left").withColumn("g2", F.when(F.col("root").isNull(), F.col("tag")).otherwise(0)).withColumn("g1", F.coalesce("root", "id"))
     order = F.struct(F.col("own_key").isNull().alias("none"), F.col("own_key").alias("key"), F.col("uid").alias("uid"))

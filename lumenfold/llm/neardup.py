@@ -23,11 +23,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut
+from lumenfold.llm.common import cut, stored
 
 Family = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -98,15 +97,13 @@ def ties(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return at, at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
 
 
-def _stars(bucket: np.ndarray, name: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    """Rows that tie members (places ``at``) to others of their buckets (places ``first``)."""
-    columns = (bucket[at], name[at, 0], name[at, 1], name[first, 0], name[first, 1])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=pa.schema([(n.split()[0], pa.int64()) for n in STAR.split(", ")]))
+def _star_batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=[n.split()[0] for n in STAR.split(", ")])
 
 
-def tied(parts):
-    """Batches of STAR from (names, buckets of each name) parts: rows without ``rid`` go to their bucket, others are
-    tied already."""
+def _tied(parts):
+    """(loose, stars) from (names, buckets of each name) parts. loose: rows (bucket, id, tag) that go to their bucket;
+    stars: rows of STAR, members that are tied to the smallest name that the task holds of their bucket."""
     names, keys, held = [], [], 0
 
     def out():
@@ -115,40 +112,58 @@ def tied(parts):
         at, first = ties(bucket, name[:, 0], name[:, 1])
         member = at != first
         other = member & (name[at] != name[first]).any(1)
-        yield _stars(bucket, name, at[other], first[other])
         alone = np.ones(len(bucket), bool)
         alone[at[member]] = False
-        none = pa.nulls(int(alone.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[alone]), pa.array(name[alone, 0]), pa.array(name[alone, 1]), none, none], names=["bucket", "id", "tag", "rid", "rtag"])
+        at, first = at[other], first[other]
+        return np.column_stack([bucket[alone], name[alone]]), np.column_stack([bucket[at], name[at], name[first]])
 
     for n, k in parts:
         names.append(n)
         keys.append(k)
         held += k.size
         if held >= HELD:
-            yield from out()
+            yield out()
             names, keys, held = [], [], 0
     if held:
-        yield from out()
+        yield out()
+
+
+def tied(parts):
+    """The rows of ``_tied`` as batches of STAR, loose ones without ``rid``."""
+    for loose, stars in _tied(parts):
+        yield _star_batch(stars)
+        none = pa.nulls(len(loose), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(loose[:, i]) for i in range(3)), none, none], names=["bucket", "id", "tag", "rid", "rtag"])
+
+
+def packed(parts, places: int):
+    """The rows of ``_tied`` as (place, loose, stars): those of one place in one row, so that few rows are shuffled."""
+    for found in _tied(parts):
+        cut_up = []
+        for rows, key in zip(found, (found[0][:, 0], found[1][:, 1]), strict=True):
+            place = (mixed(key.view(np.uint64)) % np.uint64(places)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[order], np.arange(places + 1))
+            cut_up.append([x.tobytes() for x in np.split(rows[order], ends[1:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(places, dtype=np.int32)), *(pa.array(x, pa.binary()) for x in cut_up)], names=["place", "loose", "stars"])
 
 
 def _meet(batches):
-    """The rows of a partition of buckets: ties pass, the others are tied to the smallest of their bucket."""
+    """The rows of a partition of buckets: ties pass, the loose ones are tied to the smallest of their bucket."""
     held = []
     for batch in batches:
-        loose = batch.column("rid").is_null()
-        if (rest := batch.filter(loose)).num_rows:
-            held.append(np.stack([rest.column(c).to_numpy() for c in ("bucket", "id", "tag")]))
-        if rest.num_rows < batch.num_rows:
-            yield batch.filter(pa.compute.invert(loose))
+        loose, stars = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(-1, n) for c, n in (("loose", 3), ("stars", 5)))
+        held.append(loose)
+        if len(stars):
+            yield _star_batch(stars)
     if held:
-        bucket, a, b = np.concatenate(held, 1)
+        rows = np.concatenate(held)
         held.clear()
-        at, first = ties(bucket, a, b)
-        other = (a[at] != a[first]) | (b[at] != b[first])
-        at, first, name = at[other], first[other], np.stack([a, b], 1)
+        at, first = ties(*rows.T)
+        other = (rows[at, 1:] != rows[first, 1:]).any(1)
+        at, first = at[other], first[other]
         for i in range(0, len(at), 100_000):
-            yield _stars(bucket, name, at[i : i + 100_000], first[i : i + 100_000])
+            yield _star_batch(np.concatenate([rows[at[i : i + 100_000]], rows[first[i : i + 100_000], 1:]], 1))
 
 
 def least_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -270,15 +285,17 @@ def verified(pairs: DataFrame, family: Family, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def linked(bands: DataFrame, items: DataFrame, family: Family, threshold: float) -> DataFrame:
-    """(id, tag, root) for the items that have a near duplicate. bands: rows of ``tied``; items: (id, tag, text), where names may repeat."""
-    at = F.when(F.col("rid").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "id", "tag"))
-    starred = cut(bands.repartition(at).mapInArrow(_meet, STAR))
+def linked(items: DataFrame, keys: Callable, family: Family, threshold: float) -> DataFrame:
+    """(id, tag, root) for the items that have a near duplicate. items: (id, tag, text), where names may repeat; keys:
+    from batches of items to (names, buckets of each name)."""
+    places = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = items.mapInArrow(lambda batches: packed(keys(batches), places), "place int, loose binary, stars binary")
+    starred = stored(bands.repartitionById(places, "place").mapInArrow(_meet, STAR))
     reps = starred.select(F.col("rid").alias("id"), F.col("rtag").alias("tag"))
     names = starred.select("id", "tag").union(reps).distinct()
     # copies are collapsed before they are shuffled
     whole = items.groupBy("id", "tag").agg(F.first("text").alias("text"))
-    texts = cut(whole.join(names, ["id", "tag"], "left_semi").withColumn("n", F.monotonically_increasing_id()))
+    texts = stored(whole.join(names, ["id", "tag"], "left_semi").withColumn("n", F.monotonically_increasing_id()))
     own = texts.select("id", "tag", F.col("n").alias("a"), F.col("text").alias("ta"))
     centre = texts.select(F.col("id").alias("rid"), F.col("tag").alias("rtag"), F.col("n").alias("b"), F.col("text").alias("tb"))
     links = cut(verified(starred.drop("bucket").distinct().join(own, ["id", "tag"]).join(centre, ["rid", "rtag"]), family, threshold))
@@ -287,7 +304,7 @@ def linked(bands: DataFrame, items: DataFrame, family: Family, threshold: float)
     named = texts.select("id", "tag", "n")
     members = starred.select("bucket", "id", "tag").union(starred.select("bucket", "rid", "rtag")).distinct()
     placed = members.join(named, ["id", "tag"]).join(roots.withColumnRenamed("id", "n"), "n", "left").select("bucket", F.col("n").alias("id"), F.coalesce("root", "n").alias("c"))
-    placed = cut(placed)
+    placed = stored(placed)
     open_ = cut(placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("c0 <> c1 AND n > 2").select("bucket", "rep"))
     rest = cut(placed.join(open_, "bucket"))
     if not rest.isEmpty():
@@ -304,9 +321,9 @@ def across(rest: DataFrame, texts: DataFrame, family: Family, threshold: float)
     units = cut(rest.select("rep", "id", "c").distinct().join(sized, "id"))
     weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("chars") / BLOCK_CHARS)
     # a component that fills half a block has blocks of its own, the others of a bucket share theirs
-    parts = units.groupBy("rep", "c").agg(weight.alias("w")).withColumn("g", F.when(F.col("w") >= 0.5, F.col("c")))
+    parts = cut(units.groupBy("rep", "c").agg(weight.alias("w")).withColumn("g", F.when(F.col("w") >= 0.5, F.col("c"))))
     groups = parts.groupBy("rep", "g").agg(F.ceil(F.sum("w")).cast("int").alias("blocks"))
-    layout = groups.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "blocks"))).alias("groups"))  # an entry for each half block at most
+    layout = cut(groups.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "blocks"))).alias("groups")))  # an entry for each half block at most
     base = F.aggregate(F.filter("groups", lambda x: ~x.g.eqNullSafe(F.col("g")) & (x.g.isNull() | F.coalesce(x.g < F.col("g"), F.lit(False)))), F.lit(0), lambda s, x: s + x.blocks)
     mine = F.filter("groups", lambda x: x.g.eqNullSafe(F.col("g")))[0].blocks
     total = F.aggregate("groups", F.lit(0), lambda s, x: s + x.blocks)
