@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lumenfold.llm.common import table
 
 #: Entries of the younger of two generations of a cache.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 #: Output rows are handed over once they hold so many tokens.
 BATCH_TOKENS = 1_000_000
 END = "</w>"
