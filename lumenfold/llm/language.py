@@ -11,7 +11,8 @@ model, embeddings times softmax weights, is a small table of fixed size.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and not accepted; with nothing to learn
 from every text is; equal scores go to the language first in order; a row without id isn't held out nor learned
-from; repeated rows get equal results; an empty table gives no rows; other columns pass through.
+from; of rows with one id and language one is learned from; repeated rows get equal results; an empty table gives no
+rows; columns named lang_pred, score or accepted are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import table
+from lumenfold.llm.common import cut, table
 
 BUCKETS, DIMENSIONS = 1 << 14, 16
 LETTER = re.compile(r"[^\W\d_]")
@@ -118,6 +119,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.col("share") * 1_000_003
     )
 
+    # of documents with one id one is learned from
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = cut(sample.groupBy("key", "lang").agg(one).orderBy(F.xxhash64(F.lit(3), "key"), "key", "lang").limit(2 * sample_rows))
+
     def run(batches):
         for batch in batches:
             rows = [(k, g, subwords(t)) for k, g, t in zip(batch.column("key").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if LETTER.search(t)]
@@ -127,7 +132,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                 names=["key", "lang", "at", "n"],
             )
 
-    rows = sorted(sample.select("key", "lang", "text").mapInArrow(run, "key string, lang string, at array<int>, n array<float>").limit(2 * sample_rows).collect())
+    rows = sorted(sample.select("key", "lang", "text").mapInArrow(run, "key string, lang string, at array<int>, n array<float>").collect())  # bounded by sample_rows
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None

@@ -3,16 +3,27 @@
 Features are words, beginnings of words and pairs of words that toxic labelled documents hold more often than others,
 in two documents at least and after two different words: what stands in copies of one toxic document has the same word
 before it each time, while a set phrase qualifies by its first pair. How many documents it takes beyond that follows
-from the chance of so many toxic ones among them, which depends on the sample. They are found by counting over a sample of labelled documents bounded by ``sample_rows``. Labels tell toxic or not; toxic
-documents of the sample are graded 1 to 3 by thirds of their number of such words, the others are grade 0. Features
-enter as logarithms of their counts. One weight
-for each feature is shared by the ordered thresholds: P(grade <= j) = logistic(threshold j - weights . features). The
-severity is the expected grade. A text is toxic if its severity is above that of a text without features and reaches
-a cut set between those of the sample's labelled groups. Whole texts are scanned once by an Aho-Corasick automaton of the features.
+from the chance of so many toxic ones among them, which depends on the sample. They are found by counting over labelled
+documents.
+
+Labels tell toxic or not, so the degrees of toxic documents come from a first stage that doesn't see them: the sample
+is dealt into two folds, each document is weighed by the log odds that the words of the other fold have there, for
+each word of its own (so that its length doesn't count), and the thirds of the toxic ones by this evidence are grades
+1 to 3; the others are grade 0. The regression then learns from the logarithms of counts. One weight for each feature
+is shared by the ordered thresholds: P(grade <= j) = logistic(threshold j - weights . features). The severity is the
+expected grade. A text is toxic if its severity is above that of a text without features and reaches a cut set
+between those of the sample's labelled groups. Whole texts are scanned once by an Aho-Corasick automaton of the
+features.
+
+What is bounded, by parameters: the sample (``sample_rows`` labelled documents, taken by a hash of their ids, toxic
+and others alike), the features looked at (the ``candidates`` in most toxic documents of the sample) and those that
+the regression weighs (the ``size`` least likely by chance). The rest runs over all documents.
 
 Defined results: null and empty texts have no features and get the severity of such texts; with no toxic or no other
-labelled document severity is 0 and nothing is toxic; rows repeated in the labels count as toxic if one does;
-repeated rows get equal results; an empty table gives no rows; other columns pass through.
+labelled document severity is 0 and nothing is toxic; rows repeated in the labels count as toxic if one does; of
+documents with one id one is learned from, told by a hash of its text; grades of texts that aren't toxic are 0 and of
+toxic ones 1 at least; a severity at the cut is toxic; repeated rows get equal results; an empty table gives no rows;
+columns named severity, grade or toxic are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import bounded_sample, table
+from lumenfold.llm.common import bounded_sample, cut, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -138,28 +149,34 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(sizes) < 2:
         return None
-    parts = [bounded_sample(marked.where(F.col("toxic") == t), F.col("key"), sample_rows / 2 / n).limit(sample_rows) for t, n in sorted(sizes.items())]
+    order = F.xxhash64(F.lit(3), "key")
+    parts = [bounded_sample(marked.where(F.col("toxic") == t), F.col("key"), sample_rows / 2 / n).orderBy(order, "key").limit(sample_rows) for t, n in sorted(sizes.items())]
     chosen = F.broadcast(parts[0].union(parts[1]))  # bounded by sample_rows
     sample = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    sample = cut(sample.groupBy("key", "toxic").agg(one).withColumn("fold", F.pmod(order, F.lit(2)).cast("int")))
 
     def seen(batches):
         for batch in batches:
-            for text_ in batch.column("text").to_pylist():
+            for text_, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 found = sorted(contexts(text_))
                 new = [1] + [int(a[0] != b[0]) for a, b in zip(found, found[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(new[: len(found)], pa.int32())], names=["feature", "before", "new"])
+                columns = [pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(new[: len(found)], pa.int32()), pa.array([n * fold for n in new[: len(found)]], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "before", "new", "odd"])
 
     n1, n0 = (min(sample_rows / 2, sizes[t]) for t in (1, 0))
-    counted = sample.where("toxic = 1").select("text").mapInArrow(seen, "feature string, before string, new int").groupBy("feature", "before").agg(F.sum("new").alias("docs"))
-    wide = counted.groupBy("feature").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("docs")).where("contexts >= 2 AND docs >= 2")
-    of_toxic = {r["feature"]: r["docs"] for r in wide.orderBy(F.desc("docs"), "feature").limit(candidates).collect()}
+    counted = sample.where("toxic = 1").select("text", "fold").mapInArrow(seen, "feature string, before string, new int, odd int").groupBy("feature", "before").agg(F.sum("new").alias("docs"), F.sum("odd").alias("odd"))
+    wide = counted.groupBy("feature").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("docs"), F.sum("odd").alias("odd")).where("contexts >= 2 AND docs >= 2")
+    found = {r["feature"]: (r["docs"], r["odd"]) for r in wide.orderBy(F.desc("docs"), "feature").limit(candidates).collect()}
+    of_toxic = {x: n for x, (n, _) in found.items()}
 
     def others(batches):
         for batch in batches:
-            found = [x for d in batch.column("text").to_pylist() for x in features_of(d) & of_toxic.keys()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["feature"])
+            each = [(x, f) for d, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True) for x in features_of(d) & of_toxic.keys()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in each], pa.string()), pa.array([f for _, f in each], pa.int32())], names=["feature", "odd"])
 
-    of_others = dict(map(tuple, sample.where("toxic = 0").select("text").mapInArrow(others, "feature string").groupBy("feature").count().collect()))  # at most the candidates
+    met = sample.where("toxic = 0").select("text", "fold").mapInArrow(others, "feature string, odd int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odd")).collect()  # at most the candidates
+    of_others, odd_others = {r["feature"]: r["n"] for r in met}, {r["feature"]: r["odd"] for r in met}
     q = n1 / (n1 + n0)
 
     def strength(n: float, k: float) -> float:
@@ -174,18 +191,26 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     def rows_of(batches):
         scanner = Scanner(features)
         for batch in batches:
-            rows = [scanner.counts(d) for d in batch.column("text").to_pylist()]
-            at = [np.flatnonzero(x).astype(np.int32) for x, _ in rows]
-            own = [pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for i, (x, _) in zip(at, rows, strict=True)], pa.list_(pa.float32())), pa.array([n for _, n in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("toxic"), *own], names=["key", "toxic", "at", "n", "hits"])
-
-    rows = sorted(sample.select("key", "toxic", "text").mapInArrow(rows_of, "key string, toxic int, at array<int>, n array<float>, hits long").limit(2 * sample_rows).collect())
-    x, toxic, hits = np.zeros((len(rows), len(features))), np.array([r["toxic"] for r in rows]), np.array([r["hits"] for r in rows])
+            rows = [scanner.counts(d)[0] for d in batch.column("text").to_pylist()]
+            at = [np.flatnonzero(x).astype(np.int32) for x in rows]
+            words = [len(WORD.findall(d)) for d in batch.column("text").to_pylist()]
+            own = [pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for i, x in zip(at, rows, strict=True)], pa.list_(pa.float32())), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("toxic"), batch.column("fold"), *own], names=["key", "toxic", "fold", "at", "n", "words"])
+
+    # a row for each document of the sample
+    rows = sorted(sample.mapInArrow(rows_of, "key string, toxic int, fold int, at array<int>, n array<float>, words long").collect())
+    counts, toxic, fold = np.zeros((len(rows), len(features))), np.array([r["toxic"] for r in rows], int), np.array([r["fold"] for r in rows], int)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = np.log1p(r["n"])
+        counts[i, r["at"]] = r["n"]
     if len(set(toxic.tolist())) < 2:
         return None
-    of_toxic = hits[toxic == 1]
+    x = np.log1p(counts)
+    held = np.array([[found[f][0] - found[f][1], found[f][1]] for f in features], float)  # toxic documents of each fold with a feature
+    others_held = np.array([[of_others.get(f, 0) - odd_others.get(f, 0), odd_others.get(f, 0)] for f in features], float)
+    docs_in = np.array([[((fold == k) & (toxic == t)).sum() for k in (0, 1)] for t in (0, 1)], float)
+    odds = np.log((held + 0.5) / (docs_in[1] + 1)) - np.log((others_held + 0.5) / (docs_in[0] + 1))
+    evidence = np.einsum("ij,ji->i", counts, odds[:, 1 - fold]) / np.maximum(1, [r["words"] for r in rows])
+    of_toxic = evidence[toxic == 1]
     y = np.zeros(len(rows), int)
     y[toxic == 1] = 1 + np.searchsorted(np.quantile(of_toxic, [1 / 3, 2 / 3]), of_toxic, "left")
     y = np.unique(y, return_inverse=True)[1]  # thirds that are alike count as one grade
@@ -204,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def grade(df: DataFrame, model: SeverityModel | None, text: str = "text") -> DataFrame:
-    """``df`` with ``severity``, ``grade`` (the nearest to it) and ``toxic``."""
+    """``df`` with ``severity``, ``grade`` (the nearest to it of a toxic text, else 0) and ``toxic``."""
     made = ("severity", "grade", "toxic")
     kept = df.select([c for c in df.columns if c not in made])
     schema = T.StructType([*kept.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
@@ -220,7 +245,8 @@ def grade(df: DataFrame, model: SeverityModel | None, text: str = "text") -> Dat
                     if hit:
                         own[i] = model.severity(np.log1p(counts)[None])[0]
             toxic = (own >= model.cut) & (own > none) if model else np.zeros(len(own), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(np.rint(own).astype(np.int32)), pa.array(toxic)], names=[*batch.schema.names, *made])
+            degree = np.where(toxic, np.maximum(1, np.rint(own)), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(degree), pa.array(toxic)], names=[*batch.schema.names, *made])
 
     return kept.mapInArrow(run, schema)
 
