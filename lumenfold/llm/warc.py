@@ -8,8 +8,9 @@ the frames by their block headers, decodes one frame for each record, and valida
 what fails gets a row with ``error``.
 
 Rows are shuffled once, by the digest of their payload, to tell the response (the smallest id) from its revisits;
-a hot payload is split by Spark's skew handling, since the join needs no rows together. An archive is as large as
-one such partition.
+a hot payload is split by Spark's skew handling, since the join needs no rows together. An archive ends after
+``ARCHIVE_BYTES`` or ``ARCHIVE_FRAMES``, whichever comes first; the writer begins a file after that many rows, so what
+is missing is filled up with empty ones. After a damaged frame the reader goes on at the next separator.
 
 Defined results: null html is an empty payload; rows that repeat the smallest id of a payload are all responses;
 rows without id revisit one with id; an empty table gives no archives and no rows; other columns are ignored.
@@ -31,7 +32,9 @@ from lumenfold.llm.common import scratch, table
 DICTIONARY, SKIPPABLE, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: An empty skippable frame: four bytes of magic, four of length.
 SEPARATOR = struct.pack("<II", SKIPPABLE, 0).decode("ascii")
-TRAIN_BYTES, DICTIONARY_BYTES = 2_000_000, 64_000
+TRAIN_BYTES, TRAIN_RECORDS, DICTIONARY_BYTES = 2_000_000, 5000, 64_000
+#: Of an archive at most (but for one record that is larger by itself).
+ARCHIVE_BYTES, ARCHIVE_FRAMES = 64_000_000, 20_000
 BATCH_BYTES = 8_000_000
 URN = "urn:lumenfold:page:"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,7 +63,7 @@ def frames(records):
     for x in records:
         first.append(x)
         held += len(x)
-        if held >= TRAIN_BYTES:
+        if held >= TRAIN_BYTES or len(first) >= TRAIN_RECORDS:
             break
     options = {"level": 3, "write_checksum": True, "write_content_size": True}
     try:
@@ -79,6 +82,26 @@ def frames(records):
         yield packer.compress(x)
 
 
+def archives(records, most_bytes: int = ARCHIVE_BYTES, most_frames: int = ARCHIVE_FRAMES):
+    """The frames of as many archives as it takes, each but the last filled up to ``most_frames`` with empty strings."""
+    records, n, size = iter(records), 0, 0
+
+    def own(head):
+        yield head
+        for _ in range(most_frames - 2):  # beside the dictionary
+            if size >= most_bytes or (x := next(records, None)) is None:
+                return
+            yield x
+
+    for head in records:
+        if n:
+            yield from [b""] * (most_frames - n)
+        n = size = 0
+        for frame in frames(own(head)):
+            n, size = n + 1, size + len(frame)
+            yield frame
+
+
 def frame_size(data: memoryview) -> int:
     """Bytes of the frame at the start of ``data``, by its block headers."""
     head = bytes(data[:18])
@@ -93,7 +116,7 @@ def frame_size(data: memoryview) -> int:
 
 
 def records_of(data: bytes):
-    """(record, None) for each frame of an archive; (None, error) where it can't be read on."""
+    """(record, None) for each frame of an archive; (None, error) for what can't be read up to the next separator."""
     view, at, unpacker = memoryview(data), 0, zstandard.ZstdDecompressor()
     while at < len(view):
         try:
@@ -115,7 +138,8 @@ def records_of(data: bytes):
                 raise ValueError("neither a frame nor a skippable frame")
         except (ValueError, zstandard.ZstdError) as error:
             yield None, f"at byte {at}: {error}"
-            return
+            if (at := data.find(SEPARATOR.encode("ascii"), at + 1)) < 0:
+                return
 
 
 def heads(data: bytes, first: bytes) -> tuple[dict[str, str], int]:
@@ -152,7 +176,7 @@ def parse(data: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """One archive for each partition below ``path``. Payloads of at least ``least_bytes`` are stored once."""
+    """Archives below ``path``, one or more for each partition. Payloads of at least ``least_bytes`` are stored once."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"))
     first = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
@@ -161,7 +185,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     def run(batches):
         rows = ((i.as_py(), u.as_py(), h.as_py().encode(), r.as_py()) for b in batches for i, u, h, r in zip(*(b.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True))
         out, held = [], 0
-        for frame in frames(record(*x, date) for x in rows):
+        for frame in archives(record(*x, date) for x in rows):
             out.append(frame)
             held += len(frame)
             if held >= BATCH_BYTES:
@@ -171,7 +195,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     framed = joined.mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_FRAMES).text(path)
 
 
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
