@@ -175,7 +175,7 @@ def parse(data: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", most_frames: int = ARCHIVE_FRAMES) -> None:
     """Archives below ``path``, one or more for each partition. Payloads of at least ``least_bytes`` are stored once."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.unhex(F.sha1(payload.cast("binary"))).alias("digest"))
@@ -185,7 +185,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     def run(batches):
         rows = ((i.as_py(), u.as_py(), h.as_py().encode(), r.as_py()) for b in batches for i, u, h, r in zip(*(b.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True))
         out, held = [], 0
-        for frame in archives(record(*x, date) for x in rows):
+        for frame in archives((record(*x, date) for x in rows), most_frames=most_frames):
             out.append(frame)
             held += len(frame)
             if held >= BATCH_BYTES:
@@ -195,7 +195,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     framed = joined.mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_FRAMES).text(path)
+    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", most_frames).text(path)
 
 
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"

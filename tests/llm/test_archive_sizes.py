@@ -31,11 +31,9 @@ def test_archives_are_bounded_by_bytes(monkeypatch):
     assert len(files) > 1 and [x for f in files for x, _ in warc.records_of(b"".join(x + warc.SEPARATOR.encode() for x in f))] == records(200)
 
 
-def test_files_of_a_partition(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_FRAMES", 64)
-    monkeypatch.setattr(warc.archives, "__defaults__", (warc.ARCHIVE_BYTES, 64))
+def test_files_of_a_partition(spark, tmp_path):
     df = spark.range(300).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "repeat(concat('page ', id % 250, ' '), 40) AS html").coalesce(1)
-    warc.write_archives(df, str(tmp_path / "a"))
+    warc.write_archives(df, str(tmp_path / "a"), most_frames=64)
     files = list((tmp_path / "a").glob("part-*"))
     got = warc.read_archives(spark, str(tmp_path / "a")).collect()
     assert sorted(r["page_id"] for r in got) == list(range(300)) and all(r["error"] is None for r in got)
