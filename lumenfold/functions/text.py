@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def make_filename(name: Column) -> Column:
-    """Letters, digits, blanks, dots, dashes and underscores only, with runs of blanks as one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9 ._\-\t]", ""), r"[ \t]+", " "))
+    """Letters, digits, blanks, dots, dashes and underscores only. White space of any kind is collapsed to one blank
+    first, so blanks around a sign that goes both stay; a name of white space only is NULL."""
+    one = F.trim(F.regexp_replace(name, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.when(one != "", F.regexp_replace(one, r"[^A-Za-z0-9 ._\-]", ""))
 
 
 def without_number(name: Column) -> Column:

@@ -1,7 +1,8 @@
 """Matching spectra with references: resampling, spectral angles and spectral feature fitting.
 
-Reference libraries are small and are broadcast behind a check of their size (``LIBRARY_ROWS``); beyond that the
-join is left to Spark. Pixels stay packed, so scoring needs no shuffle; the best reference of a pixel is an aggregate.
+A library is dealt into blocks of at most ``LIBRARY_ROWS`` references; each pixel meets a block as one array in its
+own row, so scoring needs no row for a pair. One block is broadcast, since its size is known; of several, each pixel
+meets each by a join on the block's number. The best reference of a pixel is the least of an array.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.registry import finite
+from lumenfold.functions.units import LENGTHS, to_nm
 from lumenfold.operators.continuum import continuum_removed
 
-LIBRARY_ROWS = 10_000
+LIBRARY_ROWS = 2000
 
 
 def resample(refs: DataFrame, grid: DataFrame, extrapolate: bool = False) -> DataFrame:
     """(ref_id, band, value): references (ref_id, wavelength, value) linearly interpolated on (band, wavelength).
 
-    Outside a reference's range there is no row, or its last segment goes on if ``extrapolate``. A grid has as many
-    rows as bands.
+    Outside a reference's range there is no row, or its last segment goes on if ``extrapolate``. Segments and bands meet
+    by cells of the grid, so this is an equi-join.
     """
     order = Window.partitionBy("ref_id").orderBy("wavelength")
     lead = [F.lead(c).over(order).alias(n) for c, n in (("wavelength", "w1"), ("value", "v1"))]
@@ -32,7 +34,15 @@ def resample(refs: DataFrame, grid: DataFrame, extrapolate: bool = False) -> Dat
         low, high = low | (F.col("i") == 1), high | (F.col("i") == F.col("n") - 1)
     else:
         high = high | (F.col("w1").isNull() & (F.col("wavelength") == F.col("w0")))
-    joined = segments.join(F.broadcast(grid), low & high)
+    # a segment meets the cells that it covers, a band its own; beyond its ends a first or last one covers all cells
+    limits = grid.agg(F.min("wavelength"), F.max("wavelength"), F.count(F.lit(1))).first()  # one row
+    lo, hi, n = limits if limits[2] else (0.0, 0.0, 1)
+    width = max((hi - lo) / n, 1e-9)
+    cell = lambda c: F.least(F.greatest(F.floor((c - lo) / width), F.lit(0)), F.lit(n)).cast("int")
+    begin = F.when(F.lit(extrapolate) & (F.col("i") == 1), F.lit(lo)).otherwise(F.col("w0"))
+    end = F.when(F.lit(extrapolate) & (F.col("i") == F.col("n") - 1), F.lit(hi)).otherwise(F.coalesce("w1", "w0"))
+    covered = segments.where((begin <= hi) & (end >= lo)).withColumn("cell", F.explode(F.sequence(cell(begin), cell(end))))
+    joined = covered.join(grid.withColumn("cell", cell(F.col("wavelength"))), "cell").where(low & high)
     value = F.when(F.col("wavelength") == F.col("w0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("wavelength") - F.col("w0")) / (F.col("w1") - F.col("w0")))
     return joined.select("ref_id", "band", value.alias("value"))
 
@@ -43,13 +53,15 @@ def arrays(resampled: DataFrame, bands: int) -> DataFrame:
     return held.select("ref_id", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.col("m")[b]).alias("ref"))
 
 
-def with_library(pixels: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each pixel beside the whole library, in one row: ``refs`` is an array of (ref_id, ref)."""
-    rows = refs.limit(LIBRARY_ROWS + 1).collect()
-    if len(rows) > LIBRARY_ROWS:
-        raise ValueError(f"a library has at most {LIBRARY_ROWS} spectra; match larger ones in parts")
-    library = F.array(*(F.struct(F.lit(r["ref_id"]).alias("ref_id"), F.array(*(F.lit(v).cast("double") for v in r["ref"])).alias("ref")) for r in rows)) if rows else F.expr("CAST(array() AS array<struct<ref_id: long, ref: array<double>>>)")
-    return pixels.withColumn("library", library)
+def with_library(pixels: DataFrame, refs: DataFrame) -> tuple[DataFrame, int]:
+    """Each pixel beside each block of the library, in one row: ``library`` is an array of structs of the columns of
+    ``refs``. Also the number of blocks."""
+    blocks = max(1, -(-refs.count() // LIBRARY_ROWS))
+    dealt = refs.withColumn("_block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
+    library = dealt.groupBy("_block").agg(F.collect_list(F.struct(*refs.columns)).alias("library"))
+    if blocks == 1:  # at most LIBRARY_ROWS references
+        return pixels.withColumn("_block", F.lit(0)).join(F.broadcast(library), "_block").drop("_block"), 1
+    return pixels.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(library, "_block").drop("_block"), blocks
 
 
 def sums(t: Column, r: Column) -> tuple[Column, Column, Column, Column]:
@@ -70,20 +82,72 @@ def angle_of_spectrum(t: Column, r: Column) -> Column:
 
 
 def angle_of_pixel(t: Column, r: Column) -> Column:
-    """The image mode: missing values count as 0 and a zero norm gives NULL."""
+    """The image mode of one pair of arrays: missing values count as 0, norms are taken over the bands that the
+    reference has, a zero norm gives NULL."""
     zero = lambda c: F.transform(c, lambda v: F.coalesce(finite(v), F.lit(0.0)))
-    tr, tt, rr, _ = sums(zero(t), zero(r))
+    seen = F.zip_with(zero(t), F.transform(r, finite), lambda v, w: F.when(w.isNotNull(), v).otherwise(0.0))
+    tr, tt, rr, _ = sums(seen, zero(r))
     return F.when((tt > 0) & (rr > 0), degrees_between(tr, tt, rr))
 
 
+def dotted(a: Column, b: Column) -> Column:
+    """The sum of products of arrays without missing values."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _prepared(pixels: DataFrame, refs: DataFrame, spectrum: str) -> tuple[DataFrame, int]:
+    """Pixels with ``t`` (missing values as 0), ``tt`` and the library with ``r``, ``rr``, ``whole`` and ``good``: what
+    a pair needs is computed once for a pixel and once for a reference."""
+    zero = lambda c: F.transform(c, lambda v: F.coalesce(finite(v), F.lit(0.0)))
+    good = F.transform("ref", lambda v: F.when(finite(v).isNull(), 0.0).otherwise(1.0))
+    ready = refs.select("ref_id", "ref", zero(F.col("ref")).alias("r"), good.alias("good"))
+    ready = ready.select("ref_id", "ref", "r", "good", dotted(F.col("r"), F.col("r")).alias("rr"), (~F.array_contains("good", F.lit(0.0))).alias("whole"))
+    own = pixels.withColumn("_t", zero(F.col(spectrum))).withColumn("_tt", dotted(F.col("_t"), F.col("_t")))
+    return with_library(own, ready)
+
+
+def _pixel_angle(r: Column) -> Column:
+    """The image mode: missing values count as 0, norms are taken over the bands that the reference has, a zero norm gives NULL."""
+    tt = F.when(r["whole"], F.col("_tt")).otherwise(dotted(F.transform("_t", lambda v: v * v), r["good"]))
+    return F.when((tt > 0) & (r["rr"] > 0), degrees_between(dotted(F.col("_t"), r["r"]), tt, r["rr"]))
+
+
 def sam(pixels: DataFrame, refs: DataFrame, mode: str = "image", threshold: float = 5.0, spectrum: str = "spectrum") -> DataFrame:
-    """(…keys, ref_id, score, is_match) for each pixel and reference (ref_id, ref on the pixels' bands)."""
+    """(…keys, ref_id, score, is_match) for each pixel and reference (ref_id, ref on the pixels' bands, NULL where bad)."""
     keys = [c for c in pixels.columns if c != spectrum]
-    score = angle_of_pixel if mode == "image" else angle_of_spectrum
-    rows = with_library(pixels, refs).select(*keys, spectrum, F.inline("library")).select(*keys, "ref_id", score(F.col(spectrum), F.col("ref")).alias("score"))
+    joined, _ = _prepared(pixels, refs, spectrum)
+    score = _pixel_angle if mode == "image" else lambda r: angle_of_spectrum(F.col(spectrum), r["ref"])
+    rows = joined.select(*keys, F.inline(F.transform("library", lambda r: F.struct(r["ref_id"].alias("ref_id"), score(r).alias("score")))))
     return rows.withColumn("is_match", F.col("score") < threshold if mode == "image" else F.col("score") <= threshold)
 
 
+def best_angle(pixels: DataFrame, refs: DataFrame, spectrum: str = "spectrum") -> DataFrame:
+    """(…keys, ref_id, score): the reference with the least angle of each pixel in the image mode, the smaller id on
+    ties; pixels without an angle are left out. No row is made for a pair."""
+    keys = [c for c in pixels.columns if c != spectrum]
+    joined, blocks = _prepared(pixels, refs, spectrum)
+    found = F.transform("library", lambda r: F.struct(_pixel_angle(r).alias("score"), r["ref_id"].alias("ref_id")))
+    rows = joined.select(*keys, F.array_min(F.filter(found, lambda x: x["score"].isNotNull())).alias("best")).where("best IS NOT NULL")
+    if blocks > 1:
+        rows = rows.groupBy(*keys).agg(F.min("best").alias("best"))
+    return rows.select(*keys, "best.ref_id", "best.score")
+
+
+def on_target_bands(refs: DataFrame, wavelengths: Sequence[float], unit: str = "nm", good: Sequence[bool] | None = None, low: float | None = None, high: float | None = None) -> tuple[DataFrame, list[int]]:
+    """References (ref_id, unit, wavelengths, values, good) as (ref_id, ref) on a target's bands, and those bands' indices.
+
+    Wavelengths of either side are taken to nanometres, references are interpolated within their range, and bands that
+    are bad on either side (of a reference: where one of the two values around is) are NULL. Bands outside low to high
+    (in the target's unit) are left out.
+    """
+    factor = LENGTHS[unit.lower()]
+    kept = [i for i, w in enumerate(wavelengths) if (low is None or w >= low) and (high is None or w <= high)]
+    grid = refs.sparkSession.createDataFrame([(n, float(wavelengths[i]) * factor) for n, i in enumerate(kept) if good is None or good[i]], "band int, wavelength double")
+    values = F.arrays_zip("wavelengths", "values", "good")
+    rows = refs.select("ref_id", "unit", F.explode(values).alias("v")).select("ref_id", to_nm(F.col("v.wavelengths"), F.col("unit")).alias("wavelength"), F.when(F.coalesce(F.col("v.good"), F.lit(True)), finite(F.col("v.values"))).alias("value"))
+    return arrays(resample(rows, grid), len(kept)), kept
+
+
 def sff(pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], mode: str = "image", max_rms: float = 0.03, spectrum: str = "spectrum") -> DataFrame:
     """(…keys, ref_id, scale, score, is_match): continuum-removed features fitted by one scale; the score is the RMS.
 
@@ -94,7 +158,7 @@ def sff(pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], mode:
     flat = lambda c: F.transform(continuum_removed(c, wavelengths), lambda v: 1 - v)
     library = refs.select("ref_id", flat(F.col("ref")).alias("ref"))
     targets = pixels.withColumn(spectrum, F.transform(flat(F.col(spectrum)), lambda v: F.coalesce(v, F.lit(0.0))))
-    rows = with_library(targets, library).select(*keys, F.col(spectrum).alias("t"), F.inline("library"))
+    rows = with_library(targets, library)[0].select(*keys, F.col(spectrum).alias("t"), F.inline("library"))
     pair = F.zip_with("t", "ref", lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"), b.isNotNull().alias("g")))
     once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  # a filter on the score would repeat named columns for every band
     add = lambda pairs, f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + f(p))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.registry import finite
+from lumenfold.functions.units import LENGTHS
 
 
 def long(cube: DataFrame, spectrum: str = "spectrum") -> DataFrame:
@@ -65,7 +66,10 @@ def wavelength_indices(wavelengths: Sequence[float], low: float, high: float) ->
     return [i for i, w in enumerate(wavelengths) if low <= w <= high]
 
 
-def wavelength_slice(cube: DataFrame, wavelengths: Sequence[float], low: float, high: float) -> DataFrame:
+def wavelength_slice(cube: DataFrame, wavelengths: Sequence[float], low: float, high: float, unit: str | None = None, limits_unit: str | None = None) -> DataFrame:
+    """The bands between two wavelengths, which may be in a unit of their own."""
+    if unit and limits_unit:
+        wavelengths = [w * LENGTHS[unit.lower()] / LENGTHS[limits_unit.lower()] for w in wavelengths]
     return some_bands(cube, wavelength_indices(wavelengths, low, high))
 
 
@@ -128,3 +132,28 @@ def subset_bands(bands: DataFrame, low: float, high: float) -> DataFrame:
     """Bands between two stored wavelengths, numbered anew."""
     kept = bands.where(F.col("wavelength").between(low, high))
     return kept.withColumn("band", (F.row_number().over(Window.partitionBy("ds_id").orderBy("band")) - 1).cast("int"))
+
+
+def band_mean(spectrum: Column) -> Column:
+    """The mean over the bands that are there."""
+    there = F.filter(F.transform(spectrum, finite), lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(there, F.lit(0.0), lambda s, v: s + v), F.size(there).cast("double"))
+
+
+def good_bands(spectrum: Column) -> Column:
+    """How many bands are there."""
+    return F.size(F.filter(F.transform(spectrum, finite), lambda v: v.isNotNull()))
+
+
+def first_masked(spectrum: Column) -> Column:
+    """The index of the first missing band, NULL if none is."""
+    at = F.array_position(F.transform(spectrum, lambda v: finite(v).isNull()), True)
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def in_spatial_bounds(gx: Column, gy: Column, gt: Sequence[float], width: int, height: int) -> Column:
+    """Whether a place lies in the raster of a geotransform."""
+    det = gt[1] * gt[5] - gt[2] * gt[4]
+    dx, dy = gx - gt[0], gy - gt[3]
+    x, y = (dx * gt[5] - dy * gt[2]) / det, (dy * gt[1] - dx * gt[4]) / det
+    return (x >= 0) & (x < width) & (y >= 0) & (y < height)

@@ -89,3 +89,29 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def pixel_spectra(cube: DataFrame, roi: DataFrame) -> DataFrame:
     """All spectra of a region's pixels, by x and y."""
     return cube.join(roi.select("x", "y").distinct(), ["x", "y"], "left_semi").orderBy("x", "y")
+
+
+def single_pixel(roi_id: int, grid: DataFrame, x: int, y: int) -> DataFrame:
+    """(roi_id, x, y) of one pixel, if the grid has it."""
+    return predicate_pixels(grid, roi_id, (F.col("x") == x) & (F.col("y") == y))
+
+
+def multi_pixel(grid: DataFrame, points: DataFrame) -> DataFrame:
+    """(roi_id, x, y) of listed points (roi_id, x, y) that the grid has, each once."""
+    return points.select("roi_id", "x", "y").distinct().join(grid.select("x", "y").distinct(), ["x", "y"]).select("roi_id", "x", "y")
+
+
+def predicate_pixels(grid: DataFrame, roi_id: int, condition: Column) -> DataFrame:
+    """(roi_id, x, y) of the pixels for which a condition over the grid's columns is true."""
+    return grid.where(condition).select(F.lit(roi_id).cast("long").alias("roi_id"), "x", "y").distinct()
+
+
+def fewest_rectangles(roi: DataFrame) -> DataFrame:
+    """Rectangles by rows or by columns, whichever are fewer for a region; rows on ties."""
+    turned = roi.select("roi_id", F.col("y").alias("x"), F.col("x").alias("y"))
+    both = rectangles(roi).withColumn("axis", F.lit(0)).unionByName(
+        rectangles(turned).select("roi_id", F.col("y_min").alias("x_min"), F.col("y_max").alias("x_max"), F.col("x_min").alias("y_min"), F.col("x_max").alias("y_max"), F.lit(1).alias("axis"))
+    )
+    n = both.groupBy("roi_id", "axis").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("roi_id").agg(F.min(F.struct("n", "axis")).alias("best")).select("roi_id", F.col("best.axis").alias("axis"))
+    return both.join(best, ["roi_id", "axis"]).drop("axis")

@@ -49,3 +49,18 @@ def density(points: DataFrame, columns: int, rows: int, limits: tuple[float, flo
     x0, x1, y0, y1 = limits
     cells = points.select(bin_of(F.col("px"), F.lit(x0), F.lit(x1), columns).alias("col"), bin_of(F.col("py"), F.lit(y0), F.lit(y1), rows).alias("row"))
     return cells.where("col IS NOT NULL AND row IS NOT NULL").groupBy("col", "row").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scatter(x: DataFrame, y: DataFrame, keys: Sequence[str] = ("y", "x")) -> DataFrame:
+    """(…keys, px, py): the values of two bands at the pixels that both have."""
+    return x.select(*keys, finite(F.col("value")).alias("px")).join(y.select(*keys, finite(F.col("value")).alias("py")), list(keys)).where("px IS NOT NULL AND py IS NOT NULL")
+
+
+def scatter_limits(points: DataFrame) -> DataFrame:
+    """One row (x0, x1, y0, y1)."""
+    return points.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+
+
+def clip_edges(clip: DataFrame, bins: int = BINS) -> DataFrame:
+    """(low, high): the lower edge of the low bin and the upper edge of the high bin of a percent clip."""
+    return clip.select((F.col("low_bin") / bins).alias("low"), ((F.col("high_bin") + 1) / bins).alias("high"))

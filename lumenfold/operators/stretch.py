@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clip(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Into 0 to 1; a missing value stays missing (least and greatest alone would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def linear(x: Column, low: float, high: float) -> Column:
@@ -82,3 +83,12 @@ def linked_limits(limits: DataFrame) -> DataFrame:
     """Low and high of the channels replaced by their averages."""
     whole = Window.partitionBy()
     return limits.select("channel", F.avg("low").over(whole).alias("low"), F.avg("high").over(whole).alias("high"))
+
+
+def to_unit(x: Column, low: float, high: float) -> Column:
+    """A raw bound as a share of the range of a band."""
+    return (x - low) / (high - low)
+
+
+def from_unit(x: Column, low: float, high: float) -> Column:
+    return low + x * (high - low)

@@ -85,15 +85,8 @@ def cube_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("y", "x", (F.col("band") + 10).alias("band"), r6("value"))
 
 
-@query("SELECT y, x, band, round(CASE WHEN band % 16 <> 15 AND abs(v - 0.1) > 1e-8 + 1e-5 * 0.1 THEN v END, 6) AS value FROM l WHERE label = 3")
-def mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cube(spark, sf_dir, "label").where("label = 3")
-    masked = rows.withColumn("spectrum", raster.mask_values(F.col("spectrum"), 0.1, GOOD)).drop("label")
-    return raster.long(masked).select("y", "x", "band", r6("value"))
-
-
 @query("SELECT y, x, band, round(CASE WHEN band % 16 <> 15 AND abs(v - 0.1) > 1e-8 + 1e-5 * 0.1 THEN v END, 6) AS value FROM l")
-def mask_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pixel of the table, whatever its label."""
     masked = cube(spark, sf_dir).withColumn("spectrum", raster.mask_values(F.col("spectrum"), 0.1, GOOD))
     return raster.long(masked).select("y", "x", "band", r6("value"))
@@ -306,15 +299,8 @@ def gcp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["gcp_fit"] = f"WITH {SQL} SELECT event_id, round(3.0 + 2.0 * (x / 100.0::DOUBLE) - y / 100.0::DOUBLE + 0.5 * (x / 100.0::DOUBLE) * (x / 100.0::DOUBLE), 3) AS gx_fit, round(1.0 - x / 100.0::DOUBLE + 4.0 * (y / 100.0::DOUBLE) * (y / 100.0::DOUBLE), 3) AS gy_fit FROM i"
 
 
-@query("SELECT (24 - x)::INT AS y, y AS x, round(s[4], 6) AS value FROM p WHERE y < 20")
-def rotate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter turn of the first 20 lines."""
-    band = raster.one_band(cube(spark, sf_dir).where("y < 20"), 3)
-    return geo.rotate_nearest(band, 90.0, 1.0, 25, 20).select("y", "x", r6("value"))
-
-
 @query("SELECT (24 - x)::INT AS y, y AS x, round(s[4], 6) AS value FROM p")
-def rotate_nearest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rotate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter turn of the whole band; its height is the table's."""
     band = raster.one_band(cube(spark, sf_dir), 3)
     height = (band.agg(F.max("y")).first()[0] or 0) + 1
@@ -331,9 +317,9 @@ def dms_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(text.parse_dms(written), 6).alias("degrees"))
 
 
-@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(c_name || ' #' || c_mktsegment || '/x  y', '[^A-Za-z0-9 ._\\-\\t]', '', 'g'), '[ \\t]+', ' ', 'g')) AS file FROM customer", with_inputs=False)
+@query("SELECT c_custkey, regexp_replace(trim(regexp_replace(c_name || ' # ' || c_mktsegment || chr(10) || '/x  y' || CASE WHEN c_custkey % 3 = 0 THEN ' !' ELSE chr(9) END, '\\s+', ' ', 'g')), '[^A-Za-z0-9 ._-]', '', 'g') AS file FROM customer", with_inputs=False)
 def filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", text.make_filename(F.concat("c_name", F.lit(" #"), "c_mktsegment", F.lit("/x  y"))).alias("file"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.make_filename(F.concat("c_name", F.lit(" # "), "c_mktsegment", F.lit("\n/x  y"), F.when(F.col("c_custkey") % 3 == 0, " !").otherwise("\t"))).alias("file"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.registry import dot
 from lumenfold.operators import continuum, matching, pca, raster
-from lumenfold.plans.inputs import BANDS, SQL, WAVELENGTHS, cube, references
+from lumenfold.plans.inputs import BANDS, GOOD, SQL, WAVELENGTHS, cube, references
 
 QUERIES, ORACLE = {}, {}
 
@@ -52,28 +52,70 @@ def sam_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("y", "x", "ref_id", F.round("score", 3).alias("score"), "is_match")
 
 
-@query(_DOTS + "SELECT vec_id, ref_id, round(score, 3) AS score FROM a WHERE vec_id < 20 AND score <= 90")
-def sam_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single target spectra against the library, matches up to a threshold."""
-    targets = cube(spark, sf_dir, "vec_id").where("vec_id < 20").select("vec_id", "spectrum")
-    found = matching.sam(targets, references(spark, sf_dir), mode="spectrum", threshold=90.0).where("is_match")
-    return found.select("vec_id", "ref_id", F.round("score", 3).alias("score"))
-
-
 @query(_DOTS + "SELECT vec_id, ref_id, round(score, 3) AS score FROM a WHERE score <= 90")
-def sam_spectrum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sam_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every target spectrum against the library, matches up to a threshold."""
-    found = matching.sam(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), references(spark, sf_dir), mode="spectrum", threshold=90.0).where("is_match")
+    targets = cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum")
+    found = matching.sam(targets, references(spark, sf_dir), mode="spectrum", threshold=90.0).where("is_match")
     return found.select("vec_id", "ref_id", F.round("score", 3).alias("score"))
 
 
 @query(_DOTS + "SELECT y, x, arg_min(ref_id, score) AS ref_id, round(min(score), 3) AS score FROM a GROUP BY y, x")
 def sam_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.best_match(matching.sam(cube(spark, sf_dir), references(spark, sf_dir)))
+    found = matching.best_angle(cube(spark, sf_dir), references(spark, sf_dir))
     return found.select("y", "x", "ref_id", F.round("score", 3).alias("score"))
 
 
-N = 12  # bands of the continuum queries: their SQL is cubic in it
+_GOOD_DOTS = """, g AS (SELECT ref_id, list_transform(range(64), lambda b: CASE WHEN b % 16 = 15 OR (b < 6 AND ref_id % 2 = 1) THEN 0.0 ELSE 1.0 END) AS g, ref FROM r),
+   m AS (SELECT vec_id, ref_id, list_sum(list_transform(list_zip(s, ref, g), lambda t: t[1] * t[2] * t[3])) AS tr, list_sum(list_transform(list_zip(s, g), lambda t: t[1] * t[1] * t[2])) AS tt,
+   list_sum(list_transform(list_zip(ref, g), lambda t: t[1] * t[1] * t[2])) AS rr FROM p, g), a AS (SELECT *, degrees(acos(greatest(-1, least(1, tr / (sqrt(tt) * sqrt(rr)))))) AS score FROM m) """
+
+
+@query(_GOOD_DOTS + "SELECT vec_id, ref_id, round(score, 3) AS score, score < 75 AS is_match FROM a")
+def sam_image_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad bands of the target, and references that lack their first bands: norms cover the bands that are there."""
+    lacking = F.transform("ref", lambda v, i: F.when((i < 6) & (F.col("ref_id") % 2 == 1), F.lit(None)).otherwise(v))
+    refs = references(spark, sf_dir).withColumn("ref", raster.mask_values(lacking, None, GOOD))
+    return matching.sam(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), refs, threshold=75.0).select("vec_id", "ref_id", F.round("score", 3).alias("score"), "is_match")
+
+
+@query(
+    _SEGMENTS
+    + _GRID
+    + """, v AS (SELECT ref_id, band, v0 + (v1 - v0) * (wavelength - w0) / (w1 - w0) AS rv FROM c JOIN grid ON wavelength >= w0 AND wavelength < w1 AND v1 IS NOT NULL WHERE wavelength BETWEEN 450 AND 700 AND band % 7 <> 3),
+    m AS (SELECT vec_id, ref_id, sum(rv * s[band + 1]) AS tr, sum(s[band + 1] * s[band + 1]) AS tt, sum(rv * rv) AS rr FROM v, p GROUP BY vec_id, ref_id)
+    SELECT vec_id, ref_id, round(degrees(acos(greatest(-1, least(1, tr / (sqrt(tt) * sqrt(rr)))))), 3) AS score FROM m"""
+)
+def sam_other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in micrometres on a grid of their own, against the targets' first 40 bands, read as 405, 415, … nm,
+    from 450 to 700 nm and without some bad bands."""
+    coarse = F.filter("ref", lambda v, i: i % 2 == 0)
+    at = F.transform(coarse, lambda v, i: (400.0 + 20 * i) / 1000.0)
+    refs = references(spark, sf_dir).select("ref_id", F.lit("um").alias("unit"), at.alias("wavelengths"), coarse.alias("values"), F.transform(coarse, lambda v: F.lit(True)).alias("good"))
+    found, kept = matching.on_target_bands(refs, [405.0 + 10 * b for b in range(40)], "nm", [b % 7 != 3 for b in range(40)], 450.0, 700.0)
+    targets = raster.some_bands(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), kept)
+    return matching.sam(targets, found, mode="image").select("vec_id", "ref_id", F.round("score", 3).alias("score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(s, range(64)), lambda t: CASE WHEN t[2] % 16 = 15 THEN 0 ELSE t[1] * t[1] END))), 6) AS norm FROM p")
+def l2_norm_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The norm over good bands."""
+    masked = cube(spark, sf_dir, "vec_id").withColumn("spectrum", raster.mask_values(F.col("spectrum"), None, GOOD))
+    return masked.select("vec_id", F.round(F.sqrt(dot(F.col("spectrum"), F.col("spectrum"))), 6).alias("norm"))
+
+
+_EXTRA = ", c AS (SELECT ref_id, k, 400.0::DOUBLE + 20 * k AS w0, ref[2 * k + 1] AS v0, 420.0::DOUBLE + 20 * k AS w1, ref[2 * k + 3] AS v1 FROM r, range(31) q(k)), wide AS (SELECT b::INT AS band, 355.0::DOUBLE + 10 * b AS wavelength FROM range(75) g(b))"
+
+
+@query(_EXTRA + " SELECT ref_id, band, round(v0 + (v1 - v0) * (wavelength - w0) / (w1 - w0), 6) AS value FROM c JOIN wide ON (wavelength >= w0 OR k = 0) AND (wavelength < w1 OR k = 30)")
+def resample_extrapolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References beyond both ends of their range: the first and last segments go on."""
+    coarse = references(spark, sf_dir).select("ref_id", F.posexplode("ref").alias("b", "value")).where("b % 2 = 0").select("ref_id", (400.0 + 10 * F.col("b")).alias("wavelength"), "value")
+    grid = spark.range(75).select(F.col("id").cast("int").alias("band"), (355.0 + 10 * F.col("id")).alias("wavelength"))
+    return matching.resample(coarse, grid, extrapolate=True).select("ref_id", "band", r6("value"))
+
+
+N = BANDS
 
 
 def _hull(source: str, key: str) -> str:
@@ -87,57 +129,31 @@ _REFS = f", rs AS (SELECT ref_id, n.band::INT AS band, ref[n.band + 1] + 1.5 AS
 _FIT = (
     _SHORT
     + _REFS
-    + """, f AS (SELECT vec_id, ref_id, list(1 - ht.removed ORDER BY band) AS t, list(1 - hr.removed ORDER BY band) AS r FROM ht JOIN hr USING (band) GROUP BY vec_id, ref_id),
+    + f""", f AS (SELECT vec_id, ref_id, list(1 - ht.removed ORDER BY band) AS t, list(1 - hr.removed ORDER BY band) AS r FROM ht JOIN hr USING (band) GROUP BY vec_id, ref_id),
     g AS (SELECT *, list_sum(list_transform(list_zip(t, r), lambda z: z[1] * z[2])) / nullif(list_sum(list_transform(r, lambda z: z * z)), 0) AS scale FROM f),
-    o AS (SELECT *, sqrt(list_sum(list_transform(list_zip(t, list_transform(r, lambda z: z * scale)), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 12) AS score FROM g) """
+    o AS (SELECT *, sqrt(list_sum(list_transform(list_zip(t, list_transform(r, lambda z: z * scale)), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / {N}) AS score FROM g) """
 )
 
 
 def _positive(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.transform(F.slice(column, 1, N), lambda v: v + 1.5))
+    return df.withColumn(column, F.transform(column, lambda v: v + 1.5))
 
 
 @query(_SHORT + " SELECT y, x, ht.band, round(removed, 6) AS value FROM ht JOIN (SELECT DISTINCT vec_id, y, x FROM t) USING (vec_id)")
 def continuum_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = continuum.remove_continuum(_positive(cube(spark, sf_dir), "spectrum"), WAVELENGTHS[:N])
+    found = continuum.remove_continuum(_positive(cube(spark, sf_dir), "spectrum"), WAVELENGTHS)
     return raster.long(found).select("y", "x", "band", r6("value"))
 
 
 @query(_FIT + "SELECT vec_id, ref_id, round(scale, 4) AS scale, round(score, 5) AS score FROM o")
 def sff_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels, refs = _positive(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _positive(references(spark, sf_dir), "ref")
-    return matching.sff(pixels, refs, WAVELENGTHS[:N]).select("vec_id", "ref_id", F.round("scale", 4).alias("scale"), F.round("score", 5).alias("score"))
-
-
-@query(_FIT + "SELECT vec_id, ref_id, round(score, 5) AS score FROM o WHERE vec_id < 20 AND score <= 0.06")
-def sff_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, refs = _positive(cube(spark, sf_dir, "vec_id").where("vec_id < 20").select("vec_id", "spectrum"), "spectrum"), _positive(references(spark, sf_dir), "ref")
-    found = matching.sff(pixels, refs, WAVELENGTHS[:N], mode="spectrum", max_rms=0.06).where("is_match")
-    return found.select("vec_id", "ref_id", F.round("score", 5).alias("score"))
-
-
-def _lifted(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.transform(column, lambda v: v + 1.5))
-
-
-@query()
-def continuum_removal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bands of each pixel; SQL for the hull is cubic in the bands, so the tests hold it against highest chords."""
-    found = continuum.remove_continuum(_lifted(cube(spark, sf_dir), "spectrum"), WAVELENGTHS)
-    return raster.long(found).select("y", "x", "band", r6("value"))
-
-
-@query()
-def sff_image_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bands of each pixel and reference."""
-    pixels, refs = _lifted(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _lifted(references(spark, sf_dir), "ref")
     return matching.sff(pixels, refs, WAVELENGTHS).select("vec_id", "ref_id", F.round("scale", 4).alias("scale"), F.round("score", 5).alias("score"))
 
 
-@query()
-def sff_spectrum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bands of every target spectrum and reference, matches up to a threshold."""
-    pixels, refs = _lifted(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _lifted(references(spark, sf_dir), "ref")
+@query(_FIT + "SELECT vec_id, ref_id, round(score, 5) AS score FROM o WHERE score <= 0.06")
+def sff_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, refs = _positive(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _positive(references(spark, sf_dir), "ref")
     found = matching.sff(pixels, refs, WAVELENGTHS, mode="spectrum", max_rms=0.06).where("is_match")
     return found.select("vec_id", "ref_id", F.round("score", 5).alias("score"))
 

@@ -14,11 +14,11 @@ def at(spark, tmp_path_factory):
 
 
 def test_every_pixel_is_masked(spark, at):
-    found = {(r["y"], r["x"], r["band"]): r["value"] for r in catalog.QUERIES["mask_values_whole"](spark, at).collect()}
+    found = {(r["y"], r["x"], r["band"]): r["value"] for r in catalog.QUERIES["mask_values"](spark, at).collect()}
     want = {(i // 25, i % 25, b): None if b % 16 == 15 or b % 7 == 0 else pytest.approx(i + b / 64, rel=1e-6, abs=1e-6) for i in range(758) for b in range(64)}
     assert found == want
 
 
 def test_the_whole_band_turns(spark, at):
-    found = {(r["y"], r["x"]): r["value"] for r in catalog.QUERIES["rotate_nearest_whole"](spark, at).collect()}
+    found = {(r["y"], r["x"]): r["value"] for r in catalog.QUERIES["rotate_nearest"](spark, at).collect()}
     assert found == {(24 - i % 25, i // 25): pytest.approx(i + 3 / 64, rel=1e-6) for i in range(758)}

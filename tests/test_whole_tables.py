@@ -32,7 +32,7 @@ def features(tables):
 
 
 def test_continuum_of_all_bands(spark, tables, features):
-    rows = catalog.QUERIES["continuum_removal_whole"](spark, tables[0]).collect()
+    rows = catalog.QUERIES["continuum_removal"](spark, tables[0]).collect()
     assert len(rows) == N * 64
     for r in rows:
         assert r["value"] == pytest.approx(1 - features[r["y"] * 25 + r["x"]][r["band"]], abs=2e-6)
@@ -45,11 +45,11 @@ def test_features_of_all_bands_and_rows(spark, tables, features):
             t, r = features[i], features[j]
             scale = t @ r / (r @ r)
             want[i, j] = scale, np.sqrt(((t - scale * r) ** 2).sum() / 64)
-    rows = {(r["vec_id"], r["ref_id"]): r for r in catalog.QUERIES["sff_image_whole"](spark, tables[0]).collect()}
+    rows = {(r["vec_id"], r["ref_id"]): r for r in catalog.QUERIES["sff_image"](spark, tables[0]).collect()}
     assert rows.keys() == want.keys()
     for k, (scale, score) in want.items():
         assert rows[k]["scale"] == pytest.approx(scale, abs=1e-4) and rows[k]["score"] == pytest.approx(score, abs=2e-5)
-    found = {(r["vec_id"], r["ref_id"]): r["score"] for r in catalog.QUERIES["sff_spectrum_whole"](spark, tables[0]).collect()}
+    found = {(r["vec_id"], r["ref_id"]): r["score"] for r in catalog.QUERIES["sff_spectrum"](spark, tables[0]).collect()}
     assert found == {k: pytest.approx(score, abs=2e-5) for k, (_, score) in want.items() if score <= 0.06}
 
 
@@ -57,6 +57,6 @@ def test_angles_of_every_spectrum(spark, tables):
     x = tables[1] - 1.5
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     angles = np.degrees(np.arccos(np.clip(unit @ unit[:LABELS].T, -1, 1)))
-    found = {(r["vec_id"], r["ref_id"]): r["score"] for r in catalog.QUERIES["sam_spectrum_whole"](spark, tables[0]).collect()}
+    found = {(r["vec_id"], r["ref_id"]): r["score"] for r in catalog.QUERIES["sam_spectrum"](spark, tables[0]).collect()}
     assert found == {(i, j): pytest.approx(angles[i, j], abs=2e-3) for i in range(N) for j in range(LABELS) if angles[i, j] <= 90}
     assert max(i for i, _ in found) >= 20
