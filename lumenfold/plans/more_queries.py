@@ -22,7 +22,7 @@ def query(sql: str, with_inputs: bool = True):
 
 
 r6 = lambda c: F.round(F.col(c), 6).alias(c)
-_total = F.aggregate("spectrum", F.lit(0.0), lambda s, v: s + v)
+_total = lambda: F.aggregate("spectrum", F.lit(0.0), lambda s, v: s + v)
 _points = lambda spark, sf_dir: table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("long").alias("roi_id"), (F.col("event_id") * 7 % 30).cast("int").alias("x"), (F.col("event_id") * 3 % 25).cast("int").alias("y"))
 _PTS = ", pts AS (SELECT DISTINCT user_id % 4 AS roi_id, (event_id * 7 % 30)::INT AS x, (event_id * 3 % 25)::INT AS y FROM events)"
 
@@ -55,7 +55,7 @@ def roi_pixel_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spectra of a region, by x and y."""
     rows = cube(spark, sf_dir)
     region = rows.where(roi.rectangle(F.col("x"), F.col("y"), 3, 1, 11, 9)).select(F.lit(1).alias("roi_id"), "x", "y")
-    return roi.pixel_spectra(rows, region).select("y", "x", F.round(_total, 6).alias("total"))
+    return roi.pixel_spectra(rows, region).select("y", "x", F.round(_total(), 6).alias("total"))
 
 
 _L = ", roi AS (SELECT 1::BIGINT AS roi_id, x, y FROM p WHERE (x >= 2 AND x < 4 AND y < 9) OR (x >= 5 AND x < 7 AND y >= 3 AND y < 12) UNION ALL SELECT 2::BIGINT, x, y FROM p WHERE (y >= 2 AND y < 4 AND x < 9) OR (y >= 6 AND y < 9 AND x >= 3 AND x < 12)), "
@@ -194,7 +194,7 @@ def band_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wavelength_slice_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands in micrometres, limits in nanometres."""
     found = raster.wavelength_slice(cube(spark, sf_dir), [w / 1000 for w in WAVELENGTHS], 499.999, 600.001, "um", "nm")
-    return found.select("y", "x", F.round(_total, 6).alias("total"))
+    return found.select("y", "x", F.round(_total(), 6).alias("total"))
 
 
 _PAIR = ", q AS (SELECT p.y, p.x, s[6] AS px, value AS py FROM p JOIN i USING (y, x))"
@@ -250,7 +250,7 @@ def percent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm_same_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dataset under two names."""
     c = Image("cube", cube(spark, sf_dir))
-    return evaluate("a * b + b", {"a": c, "b": c})[1].select("y", "x", F.round(_total, 6).alias("total"))
+    return evaluate("a * b + b", {"a": c, "b": c})[1].select("y", "x", F.round(_total(), 6).alias("total"))
 
 
 @query("SELECT y, x, round(s[4] * (SELECT list_sum(list_transform(q, lambda v: v * v)) FROM ramp), 6) AS value FROM p")
