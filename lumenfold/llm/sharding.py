@@ -148,7 +148,7 @@ def assign(df: DataFrame, shards: int, key: str | list[str] = "doc_id", nodes: i
     placed = rows.join(cut(whole), ["h", "h2"]).select("row", "uid", "part", "shard")
     split = last.where("n > 1")
     if not split.isEmpty():  # groups that no shard can take whole
-        parted = cut(rows.join(split.select("h", "h2"), ["h", "h2"]).groupBy("h", "h2", "part").agg(F.count(F.lit(1)).alias("rows")))
+        parted = cut(rows.groupBy("h", "h2", "part").agg(F.count(F.lit(1)).alias("rows")).join(split.select("h", "h2"), ["h", "h2"]))
         before = Window.partitionBy("h", "h2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = cut(parted.select("h", "h2", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")).join(split, ["h", "h2"]))
         number = F.row_number().over(Window.partitionBy("h", "h2", "part").orderBy("uid")) - 1
