@@ -12,8 +12,8 @@ each word of its own (so that its length doesn't count), and the thirds of the t
 1 to 3; the others are grade 0. The regression then learns from the logarithms of counts. One weight for each feature
 is shared by the ordered thresholds: P(grade <= j) = logistic(threshold j - weights . features). The severity is the
 expected grade. A text is toxic if its severity is above that of a text without features and reaches a cut set
-between those of the sample's labelled groups. Whole texts are scanned once by an Aho-Corasick automaton of the
-features.
+between those of the sample's labelled groups. Whole texts are split into words once, and each of its words is looked
+up once.
 
 What is bounded, by parameters: the sample (``sample_rows`` labelled documents, taken by a hash of their ids, toxic
 and others alike), the features looked at (the ``candidates`` in most toxic documents of the sample) and those that
@@ -29,6 +29,7 @@ columns named severity, grade or toxic are replaced, others pass through.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,40 +68,43 @@ def features_of(text: str) -> set[str]:
 class Scanner:
     """Counts of given features in whole texts."""
 
-    def __init__(self, features: list[str]):
-        import ahocorasick
-
-        self.size, self.pairs, found = len(features), {}, {}
+    def __init__(self, features: list[str], memory: int = 100_000):
+        self.size, self.memory = len(features), memory
+        self.words, self.beginnings, self.pairs = {}, {}, {}
         for i, x in enumerate(features):
             if " " in x:
-                self.pairs[x] = i
-                for w in x.split(" "):
-                    found.setdefault(w, [])
+                self.pairs[tuple(x.split(" "))] = i
+            elif x.endswith("*"):
+                self.beginnings[x[:-1]] = i
             else:
-                found.setdefault(x.rstrip("*"), []).append((i, not x.endswith("*")))
-        self.automaton = ahocorasick.Automaton()
-        for x, uses in found.items():
-            self.automaton.add_word(x, (x, uses))
-        self.automaton.make_automaton()
+                self.words[x] = i
+        self.lengths = sorted({len(x) for x in self.beginnings})
+        self.firsts = {a for a, _ in self.pairs}
+        self.known: dict[str, list[int]] = {}  # the features of words seen, bounded
+
+    def uses(self, word: str) -> list[int]:
+        """The features of a word."""
+        if (found := self.known.get(word)) is None:
+            found = [self.words[word]] if word in self.words else []
+            found += [self.beginnings[word[:n]] for n in self.lengths if n < len(word) and word[:n] in self.beginnings]
+            if len(self.known) >= self.memory:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """The count of each feature, and of words with one."""
-        text, out, last, hit = text.lower(), np.zeros(self.size, np.float32), -1, 0
-        n, before, after = len(text), "", 0
-        for end, (word, uses) in self.automaton.iter(text):
-            start = end + 1 - len(word)
-            if start and text[start - 1].isalpha():
-                continue
-            ends = end + 1 == n or not text[end + 1].isalpha()
-            used = [i for i, whole in uses if whole == ends]
-            if ends:
-                pair = self.pairs.get(f"{before} {word}")
-                if pair is not None and not any(text[i].isalpha() for i in range(after, start)):
-                    used.append(pair)
-                before, after = word, end + 1
-            out[used] += 1
-            if used and start != last:
-                hit, last = hit + 1, start
+        words = WORD.findall(text.lower())
+        out, hit, often = np.zeros(self.size, np.float32), 0, Counter(words)
+        for word, n in often.items():
+            if used := self.uses(word):
+                out[used] += n
+                hit += n
+        if not self.firsts.isdisjoint(often):
+            for a, b in zip(words, words[1:], strict=False):
+                if a in self.firsts and (i := self.pairs.get((a, b))) is not None:
+                    out[i] += 1
+                    hit += not self.uses(b)
         return out, hit
 
 
