@@ -160,11 +160,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return LanguageModel(languages, weights, bias, temperature, min(float(np.quantile(own, 0.001)), 0.5), seen, float(np.quantile(share, 0.001)))
 
 
-def predict(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: LanguageModel | None, text: str = "text", prefix: str = "") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` and ``accepted``."""
-    made = ("lang_pred", "score", "accepted")
+    made = tuple(prefix + x for x in ("lang_pred", "score", "accepted"))
     kept = df.select([c for c in df.columns if c not in made])
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    schema = T.StructType([*kept.schema.fields, *map(T.StructField, made, (T.StringType(), T.DoubleType(), T.BooleanType()))])
 
     def one(value: str | None) -> tuple[str, float, bool]:
         if not value or model is None or not LETTER.search(value):

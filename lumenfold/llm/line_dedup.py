@@ -78,9 +78,10 @@ def signatures(rows: int = ROWS, bands: int = BANDS):
     return keys
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """``df`` with the lines that stay in ``text``, and ``n_lines`` and ``n_dropped``."""
-    names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    n_lines, n_dropped = prefix + "n_lines", prefix + "n_dropped"
+    names = [c for c in df.columns if c not in (n_lines, n_dropped)]
     d1, d2 = identity(F.col(key), F.col(text))
     lines = df.select(F.col(key).alias("key"), F.col(text).alias("whole"), d1.alias("d1"), d2.alias("d2"))
     id_, tag = name_of(F.col("text"))
@@ -109,8 +110,8 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     new = {text: F.col("left"), **({"n_chars": F.length("left").cast("long")} if "n_chars" in names else {})}
     return found.select(
         *(new.get(c, F.col(f"doc.{c}")).alias(c) for c in names),
-        F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")).alias("n_lines"),
-        F.size("drop").alias("n_dropped"),
+        F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts")).alias(n_lines),
+        F.size("drop").alias(n_dropped),
     )
 
 

@@ -7,9 +7,9 @@ from the chance of so many toxic ones among them, which depends on the sample. T
 documents.
 
 Labels tell toxic or not, so the degrees of toxic documents come from a first stage that doesn't see them: the sample
-is dealt into two folds, each document is weighed by the log odds that the words of the other fold have there, for
-each word of its own (so that its length doesn't count), and the thirds of the toxic ones by this evidence are grades
-1 to 3; the others are grade 0. The regression then learns from the logarithms of counts. One weight for each feature
+is dealt into two folds, each document is weighed by the sum of the log odds that its features, each once however
+often it stands there, have in the labels of the other fold, and the thirds of the toxic ones by this evidence are
+grades 1 to 3; the others are grade 0. The regression then learns from the logarithms of counts. One weight for each feature
 is shared by the ordered thresholds: P(grade <= j) = logistic(threshold j - weights . features). The severity is the
 expected grade. A text is toxic if its severity is above that of a text without features and reaches a cut set
 between those of the sample's labelled groups. Whole texts are split into words once, and each of its words is looked
@@ -197,12 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         for batch in batches:
             rows = [scanner.counts(d)[0] for d in batch.column("text").to_pylist()]
             at = [np.flatnonzero(x).astype(np.int32) for x in rows]
-            words = [len(WORD.findall(d)) for d in batch.column("text").to_pylist()]
-            own = [pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for i, x in zip(at, rows, strict=True)], pa.list_(pa.float32())), pa.array(words, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("toxic"), batch.column("fold"), *own], names=["key", "toxic", "fold", "at", "n", "words"])
+            own = [pa.array(at, pa.list_(pa.int32())), pa.array([x[i] for i, x in zip(at, rows, strict=True)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("toxic"), batch.column("fold"), *own], names=["key", "toxic", "fold", "at", "n"])
 
     # a row for each document of the sample
-    rows = sorted(sample.mapInArrow(rows_of, "key string, toxic int, fold int, at array<int>, n array<float>, words long").collect())
+    rows = sorted(sample.mapInArrow(rows_of, "key string, toxic int, fold int, at array<int>, n array<float>").collect())
     counts, toxic, fold = np.zeros((len(rows), len(features))), np.array([r["toxic"] for r in rows], int), np.array([r["fold"] for r in rows], int)
     for i, r in enumerate(rows):
         counts[i, r["at"]] = r["n"]
@@ -213,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     others_held = np.array([[of_others.get(f, 0) - odd_others.get(f, 0), odd_others.get(f, 0)] for f in features], float)
     docs_in = np.array([[((fold == k) & (toxic == t)).sum() for k in (0, 1)] for t in (0, 1)], float)
     odds = np.log((held + 0.5) / (docs_in[1] + 1)) - np.log((others_held + 0.5) / (docs_in[0] + 1))
-    evidence = np.einsum("ij,ji->i", counts, odds[:, 1 - fold]) / np.maximum(1, [r["words"] for r in rows])
+    evidence = ((counts > 0) * odds[:, 1 - fold].T).sum(1)
     of_toxic = evidence[toxic == 1]
     y = np.zeros(len(rows), int)
     y[toxic == 1] = 1 + np.searchsorted(np.quantile(of_toxic, [1 / 3, 2 / 3]), of_toxic, "left")
@@ -222,9 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     model = SeverityModel(features, weights, thresholds, 0.5)
     severity = model.severity(x)
     clean, bad = np.quantile(severity[toxic == 0], 0.998), np.quantile(severity[toxic == 1], 0.002)
-    if clean >= bad:  # they overlap: where most of the sample is told right
+    if clean >= bad:  # they overlap: where most labelled documents are told right, which each of the sample stands for some of
         order = np.argsort(severity, kind="stable")
-        right = np.cumsum(toxic[order] == 0) + (toxic == 1).sum() - np.cumsum(toxic[order] == 1)
+        share = np.array([sizes[t] / max(1, (toxic == t).sum()) for t in (0, 1)])[toxic[order]]
+        right = np.cumsum(share * (toxic[order] == 0)) + share[toxic[order] == 1].sum() - np.cumsum(share * (toxic[order] == 1))
         right[:-1][severity[order][:-1] == severity[order][1:]] = -1
         best = int(right[:-1].argmax())
         clean, bad = severity[order][best : best + 2]
@@ -232,11 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return model
 
 
-def grade(df: DataFrame, model: SeverityModel | None, text: str = "text") -> DataFrame:
+def grade(df: DataFrame, model: SeverityModel | None, text: str = "text", prefix: str = "") -> DataFrame:
     """``df`` with ``severity``, ``grade`` (the nearest to it of a toxic text, else 0) and ``toxic``."""
-    made = ("severity", "grade", "toxic")
+    made = tuple(prefix + x for x in ("severity", "grade", "toxic"))
     kept = df.select([c for c in df.columns if c not in made])
-    schema = T.StructType([*kept.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
+    schema = T.StructType([*kept.schema.fields, *map(T.StructField, made, (T.DoubleType(), T.IntegerType(), T.BooleanType()))])
 
     def run(batches):
         scanner = Scanner(model.features) if model else None
