@@ -6,6 +6,8 @@ Functions over a whole spectrum take arrays and give a value for each pixel.
 
 from __future__ import annotations
 
+import importlib
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,6 +35,7 @@ class BandFunction:
     build: Callable[..., Column]
     arity: int
     whole: bool = False  # takes whole spectra
+    params: tuple[str, ...] = ()  # names of the arguments, for calls by name
 
 
 BUILT_IN = {
@@ -42,7 +45,7 @@ BUILT_IN = {
     "arcsin": BandFunction(lambda x: finite(F.asin(x)), 1),
     "arccos": BandFunction(lambda x: finite(F.acos(x)), 1),
     "arctan": BandFunction(F.atan, 1),
-    "arctan2": BandFunction(F.atan2, 2),
+    "arctan2": BandFunction(F.atan2, 2, params=("a", "b")),
     "dotprod": BandFunction(dot, 2, whole=True),
     "spectral_angle": BandFunction(angle, 2, whole=True),
 }
@@ -54,5 +57,20 @@ class Registry(dict):
     def __init__(self, **own: BandFunction):
         super().__init__(BUILT_IN | {k.lower(): v for k, v in own.items()})
 
-    def register(self, name: str, build: Callable[..., Column], arity: int = 1, whole: bool = False) -> None:
-        self[name.lower()] = BandFunction(build, arity, whole)
+    def register(self, name: str, build: Callable[..., Column], arity: int = 1, whole: bool = False, params: tuple[str, ...] = ()) -> None:
+        self[name.lower()] = BandFunction(build, arity, whole, params)
+
+    def plug_in(self, *names: str) -> None:
+        """Adds the functions of plugins, each a dotted name of a callable that gives {name: BandFunction}; one that
+        fails is passed over and one that takes the place of another is told, both by a warning."""
+        for name in names:
+            module, _, attribute = name.rpartition(".")
+            try:
+                found = dict(getattr(importlib.import_module(module), attribute)())
+            except Exception as fault:  # a faulty plugin doesn't stop the others
+                warnings.warn(f"plugin {name} was passed over: {fault!r}", stacklevel=2)
+                continue
+            for key, function in found.items():
+                if key.lower() in self:
+                    warnings.warn(f"{key} of plugin {name} takes the place of another", stacklevel=2)
+                self[key.lower()] = function

@@ -156,7 +156,17 @@ class Compiler:
                 args.append(self.comparison())
             if not self.eat(",") and self.peek() != ")":
                 raise BandMathError(f"unexpected {self.peek()!r} in the arguments of {name}")
-        return self.applied(name, [*args, *named.values()])
+        return self.applied(name, [*args, *self.by_name(name, len(args), named)])
+
+    def by_name(self, name: str, first: int, named: dict[str, Typed]) -> list[Typed]:
+        """Named arguments in the order of a function's parameters, after so many positional ones."""
+        f = self.functions.get(name)
+        if not named or f is None or not f.params:
+            return list(named.values())
+        left = [p.lower() for p in f.params[first:]]
+        if sorted(left) != sorted(named):
+            raise BandMathError(f"{name} takes {', '.join(f.params)}")
+        return [named[p] for p in left]
 
     def applied(self, name: str, args: Sequence[Typed]) -> Typed:
         if (f := self.functions.get(name)) is None:

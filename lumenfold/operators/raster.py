@@ -134,6 +134,25 @@ def subset_bands(bands: DataFrame, low: float, high: float) -> DataFrame:
     return kept.withColumn("band", (F.row_number().over(Window.partitionBy("ds_id").orderBy("band")) - 1).cast("int"))
 
 
+def exact_subset(bands: DataFrame, low: float, high: float) -> DataFrame:
+    """Bands between two wavelengths that each dataset must have exactly, numbered anew, with ``first``, the band that
+    is 0 now, and ``size``, how many there are. A dataset that lacks one of them raises."""
+    own = Window.partitionBy("ds_id")
+    at = lambda w: F.min(F.when(F.col("wavelength") == w, F.col("band"))).over(own)
+    ends = bands.withColumn("_a", at(low)).withColumn("_b", at(high))
+    lacks = F.col("_a").isNull() | F.col("_b").isNull()
+    told = F.when(lacks, F.raise_error(F.concat(F.lit(f"no band at exactly {low} or {high} in dataset "), F.col("ds_id")))).otherwise(F.least("_a", "_b"))
+    kept = ends.withColumn("first", told.cast("int")).withColumn("_b", F.greatest("_a", "_b")).where(F.col("band").between(F.col("first"), F.col("_b")))
+    return kept.withColumn("size", (F.col("_b") - F.col("first") + 1).cast("int")).withColumn("band", (F.col("band") - F.col("first")).cast("int")).drop("_a", "_b")
+
+
+def moved_display(shown: Column, first: Column, size: Column) -> Column:
+    """Display bands of a subset: those of the whole less the first, or the first three if one of them isn't there."""
+    moved = F.transform(shown, lambda b: (b - first).cast("int"))
+    fits = (F.size(moved) > 0) & F.forall(moved, lambda b: (b >= 0) & (b < size))
+    return F.when(fits, moved).otherwise(F.when(size > 0, F.sequence(F.lit(0), F.least(size, F.lit(3)) - 1)).otherwise(F.array().cast("array<int>")))
+
+
 def band_mean(spectrum: Column) -> Column:
     """The mean over the bands that are there."""
     there = F.filter(F.transform(spectrum, finite), lambda v: v.isNotNull())

@@ -31,6 +31,43 @@ def test_envi_round_trip_with_missing(spark, tmp_path):
     assert envi.ignore_value_for("u1") == 0 and envi.ignore_value_for("i2") == -9999
 
 
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_envi_by_blocks(spark, tmp_path, interleave):
+    """Blocks of one line each; a crop, some bands, a missing pixel and line, and the metadata that go with them."""
+    head = {
+        "samples": 4, "lines": 7, "bands": 3, "wavelength": [400, 500, 600], "bbl": [1, 1, 1], "default bands": [3, 1, 3],
+        "map info": ["UTM", "1.0", "1.0", "1000", "2000", "30", "30"], "data ignore value": -1,
+    }
+    x = np.arange(84.0).reshape(7, 4, 3)
+    rows = [(y, c, x[y, c].tolist()) for y in range(7) for c in range(4) if y != 3 and (y, c) != (1, 1)]
+    cube = spark.createDataFrame(rows, "y int, x int, spectrum array<double>")
+    at = str(tmp_path / "a b+c")
+    files = envi.write_raster(cube, at, "r", head, left=1, top=1, width=2, height=5, include=[True, False, True], interleave=interleave, kind=2, size=40)
+    assert [(r["block"], r["lines"]) for r in files.collect()] == [(b, 1) for b in range(5)]
+    back = {(r["y"], r["x"]): r["spectrum"] for r in envi.read_raster(spark, at, size=10).collect()}
+    want = {(y - 1, c - 1): [None, None] if y == 3 or (y, c) == (1, 1) else x[y, c, [0, 2]].tolist() for y in range(1, 6) for c in (1, 2)}
+    assert back == want
+    only = envi.read_raster(spark, at, bands=[1]).where("y = 3").collect()
+    assert sorted(r["spectrum"] for r in only) == [[want[3, 0][1]], [want[3, 1][1]]]
+    read = envi.parse_header((tmp_path / "a b+c" / "r_000002.hdr").read_text())
+    assert read["wavelength"] == ["400", "600"] and read["default bands"] == ["2", "1", "2"] and read["y start"] == "3"
+    assert [float(v) for v in read["map info"][1:3]] == [-0.0, -2.0]  # line 3 of the source is line 1 here
+
+
+def test_envi_lines_and_faults(spark, tmp_path):
+    (tmp_path / "a.img").write_bytes(np.arange(12, dtype="<i2").tobytes())
+    head = {"samples": 2, "lines": 3, "bands": 2, "data type": 2, "interleave": "bip"}
+    (tmp_path / "a.hdr").write_text(envi.write_header(head))
+    got = envi.read_raster(spark, str(tmp_path), lines=(1, 2)).orderBy("y", "x").collect()
+    assert [(r["y"], r["x"], r["spectrum"]) for r in got] == [(1, 0, [4.0, 5.0]), (1, 1, [6.0, 7.0])]
+    with pytest.raises(ValueError, match="too few"):
+        envi.line_blocks(head, 20, 100)
+    with pytest.raises(ValueError, match="fit"):
+        envi.subset_header(head, left=1, width=2)
+    assert envi.subset_header(head | {"default bands": [2]}, include=[True, False])["default bands"] == [1]
+    assert envi.result_header(head | {"bbl": [1, 1]}, "band") == head | {"bands": 1}
+
+
 def test_spectral_library(spark, tmp_path):
     head, data = envi.encode_raster(np.arange(6.0).reshape(2, 3, 1), {"wavelength units": "Micrometers", "wavelength": [0.4, 0.5, 0.6], "spectra names": ["a", "b"]})
     (tmp_path / "lib.hdr").write_text(head)
