@@ -178,3 +178,17 @@ def best_match(matches: DataFrame, keys: Sequence[str] = ("y", "x")) -> DataFram
     """The reference with the least score of each pixel, the smaller id on ties."""
     best = F.min(F.struct("score", "ref_id")).alias("best")
     return matches.where("score IS NOT NULL").groupBy(*keys).agg(best).select(*keys, "best.ref_id", "best.score")
+
+
+def as_cube(matches: DataFrame, value: str = "score", missing: float | None = None) -> DataFrame:
+    """(y, x, spectrum): one band for each reference by its id, of an output of ``sam`` or ``sff`` (score, scale or
+    is_match as 0 and 1); ``missing`` takes the place of NULL."""
+    cell = F.col(value).cast("double")
+    pairs = F.array_sort(F.collect_list(F.struct("ref_id", (cell if missing is None else F.coalesce(cell, F.lit(missing))).alias("v"))))  # as many as references
+    return matches.groupBy("y", "x").agg(F.transform(pairs, lambda p: p.v).alias("spectrum"))
+
+
+def cube_bands(refs: DataFrame) -> DataFrame:
+    """(band, description) of such a cube from references (ref_id, name)."""
+    order = Window.orderBy("ref_id")  # as few rows as bands of one image
+    return refs.select((F.row_number().over(order) - 1).cast("int").alias("band"), F.concat(F.lit("Spec: "), "name").alias("description"))

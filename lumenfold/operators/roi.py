@@ -106,6 +106,38 @@ def predicate_pixels(grid: DataFrame, roi_id: int, condition: Column) -> DataFra
     return grid.where(condition).select(F.lit(roi_id).cast("long").alias("roi_id"), "x", "y").distinct()
 
 
+SELECTION = "type string, pixel array<int>, pixels array<array<int>>, point1 array<int>, point2 array<int>, points array<array<int>>, predicate string"
+
+
+def selection_json(type_: str, **places: Column) -> Column:
+    """A selection as JSON: ``pixel``, ``pixels``, ``point1`` and ``point2``, ``points`` or ``predicate`` beside its type."""
+    return F.to_json(F.struct(F.lit(type_).alias("type"), *(c.alias(name) for name, c in places.items())))
+
+
+def _holds(points: Column, x: Column, y: Column) -> Column:
+    """Whether a ray to the right of a place crosses an odd number of the edges of a polygon in a column."""
+    turned = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+    crosses = lambda a, b: ((y < a[1]) != (y < b[1])) & (x < F.try_divide((b[0] - a[0]) * (y - a[1]), (b[1] - a[1]).cast("double")) + a[0])
+    return F.aggregate(F.zip_with(points, turned, lambda a, b: F.coalesce(crosses(a, b), F.lit(False)).cast("int")), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
+def selection_pixels(selections: DataFrame) -> DataFrame:
+    """(roi_id, x, y) of selections (roi_id, json), each pixel once; polygons take the cells whose centre is inside.
+
+    NULL or unreadable text and predicates, which need an image (``predicate_pixels``), give no pixels. A rectangle is
+    spread by lines, then by columns, so that a large one isn't one array.
+    """
+    s = selections.select("roi_id", F.from_json("json", SELECTION).alias("s")).select("roi_id", "s.*")
+    listed = F.when(F.col("type") == "SINGLE_PIXEL", F.array("pixel")).when(F.col("type") == "MULTI_PIXEL", F.col("pixels"))
+    single = s.select("roi_id", F.explode(listed).alias("p")).select("roi_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    at = lambda c, i: F.transform(F.when(F.col("type") == "POLYGON", F.col("points")).when(F.col("type") == "RECTANGLE", F.array("point1", "point2")), lambda p: p[i])
+    box = s.select("roi_id", "type", "points", *(f(at("s", i)).alias(n + c) for i, c in enumerate("xy") for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))))
+    lines = box.where("hix > lox AND hiy > loy").select("*", F.explode(F.sequence("loy", F.col("hiy") - 1)).alias("y"))
+    cells = lines.select("*", F.explode(F.sequence("lox", F.col("hix") - 1)).alias("x"))
+    spread = cells.where((F.col("type") == "RECTANGLE") | _holds(F.col("points"), F.col("x") + 0.5, F.col("y") + 0.5))
+    return pixels_of(single, spread)
+
+
 def fewest_rectangles(roi: DataFrame) -> DataFrame:
     """Rectangles by rows or by columns, whichever are fewer for a region; rows on ties."""
     turned = roi.select("roi_id", F.col("y").alias("x"), F.col("x").alias("y"))
