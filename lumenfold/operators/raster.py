@@ -96,7 +96,7 @@ def normalized(band: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(value - min) / (max - min) over finite values; zeros where all are equal."""
     clean = band.withColumn("value", finite(F.col("value")))
     limits = clean.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    joined = clean.join(F.broadcast(limits), list(keys)) if keys else attach(clean, limits)
+    joined = clean.join(limits, list(keys)) if keys else attach(clean, limits)
     flat = F.col("hi") == F.col("lo")
     return joined.withColumn("value", F.when(flat, F.when(F.col("value").isNotNull(), 0.0)).otherwise((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))).drop("lo", "hi")
 

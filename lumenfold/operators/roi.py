@@ -54,9 +54,32 @@ def polygon_pixels(grid: DataFrame, roi_id: int, points: Sequence[tuple[float, f
 
 def roi_spectrum(cube: DataFrame, roi: DataFrame, how: str = "mean") -> DataFrame:
     """(roi_id, band, value): the mean or median of finite values of each band over the pixels of each region."""
-    value = {"mean": F.avg, "median": F.median}[how]
-    rows = cube.join(roi, ["x", "y"]).select("roi_id", F.posexplode("spectrum").alias("band", "v"))
-    return rows.groupBy("roi_id", "band").agg(value(finite(F.col("v"))).alias("value"))
+    if how not in ("mean", "median"):
+        raise ValueError("mean or median")
+    rows = cube.join(roi, ["x", "y"]).select("roi_id", F.posexplode("spectrum").alias("band", "v")).withColumn("v", finite(F.col("v")))
+    return rows.groupBy("roi_id", "band").agg(F.avg("v").alias("value")) if how == "mean" else exact_medians(rows, ["roi_id", "band"])
+
+
+def exact_medians(rows: DataFrame, keys: Sequence[str], cells: int = 4096) -> DataFrame:
+    """(…keys, value): the median of ``v`` in each group, NULL where it has none, however large a group is.
+
+    Counts by cells of equal width between a group's least and largest value tell the cells of its middle values; only
+    the values of these, counted, meet in a task. All counts are pre-aggregated before they are shuffled.
+    """
+    keys = list(keys)
+    span = rows.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count("v").alias("_n"))
+    share = F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    placed = rows.where("v IS NOT NULL").join(span, keys).withColumn("_cell", F.coalesce(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0)).cast("int"))
+    order = Window.partitionBy(*keys)  # at most ``cells`` rows of a group
+    counted = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    marked = counted.withColumn("_before", F.sum("_c").over(order.orderBy("_cell")) - F.col("_c"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)  # places of the middle values, from 0
+    middle = marked.where((F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low)).select(*keys, "_cell", "_before")
+    held = placed.join(middle, [*keys, "_cell"]).groupBy(*keys, "_cell", "_before", "_n", "v").agg(F.count(F.lit(1)).alias("_c"))
+    within = held.withColumn("_at", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("v")) - F.col("_c"))
+    holds = lambda place: F.max(F.when((F.col("_at") <= place) & (F.col("_at") + F.col("_c") > place), F.col("v")))
+    found = within.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("value"))
+    return span.select(*keys).join(found, keys, "left")
 
 
 def bounding_boxes(roi: DataFrame) -> DataFrame:

@@ -51,20 +51,27 @@ def import_spectra(lines: DataFrame, delimiter: str = ",", header: bool = True,
 
 def export_spectra(spectra: DataFrame) -> DataFrame:
     """(row, text): tab-separated pairs of wavelength and value for each spectrum (name, wavelengths, values) by name;
-    a header, shorter spectra filled, missing values as NaN."""
+    a header, shorter spectra filled, missing values as NaN. A line of the file holds a pair of every spectrum, so the
+    names stand in one row, and a row of the result is put together from the cells that a line has."""
+    names = spectra.agg(F.array_sort(F.collect_set("name")).alias("names"))
     pairs = spectra.select("name", F.posexplode(F.arrays_zip(F.col("wavelengths").alias("w"), F.col("values").alias("v"))).alias("row", "p"))
-    names = sorted(r["name"] for r in spectra.select("name").collect())  # a column of the file for each
-    cell = lambda n: F.concat_ws("\t", F.coalesce(F.max(F.when(F.col("name") == n, F.col("p.w"))), F.lit(PAD)).cast("string"), F.when(F.max(F.when(F.col("name") == n, F.lit(1))).isNull(), F.lit(str(PAD))).otherwise(F.coalesce(F.max(F.when(F.col("name") == n, F.col("p.v"))).cast("string"), F.lit("NaN"))))
-    body = pairs.groupBy("row").agg(F.concat_ws("\t", *(cell(n) for n in names)).alias("text")).select((F.col("row") + 1).alias("row"), "text")
-    head = spectra.sparkSession.createDataFrame([(0, "\t".join(f"Wavelength\t{n}" for n in names))], "row int, text string")
+    cell = F.concat_ws("\t", F.coalesce(F.col("p.w"), F.lit(PAD)).cast("string"), F.coalesce(F.col("p.v").cast("string"), F.lit("NaN")))
+    lines = pairs.groupBy((F.col("row") + 1).alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("name", cell.alias("cell")))).alias("cells"))
+    text = F.array_join(F.transform("names", lambda n: F.coalesce(F.try_element_at(F.col("cells"), n), F.lit(f"{PAD}\t{PAD}"))), "\t")
+    body = lines.crossJoin(names).select("row", text.alias("text"))  # one row of names
+    head = names.select(F.lit(0).alias("row"), F.array_join(F.transform("names", lambda n: F.concat(F.lit("Wavelength\t"), n)), "\t").alias("text"))
     return head.union(body).orderBy("row")
 
 
 def export_pixel_spectra(rows: DataFrame) -> DataFrame:
-    """Pixels of a region as columns, by x and y, bands as rows. rows: (x, y, band, value) of some pixels."""
-    name = F.concat(F.lit("("), "x", F.lit(" "), "y", F.lit(")"))
-    order = [r["n"] for r in rows.select("x", "y", name.alias("n")).distinct().orderBy("x", "y").collect()]  # a column for each
-    return rows.withColumn("n", name).groupBy("band").pivot("n", order).agg(F.first("value")).orderBy("band")
+    """(line, text): pixels of a region as columns of a text, by x and y, bands as rows after a header.
+    rows: (x, y, band, value). A line holds a value of every pixel, as the file does; missing ones are NaN."""
+    cell = F.struct("x", "y", F.coalesce(F.col("value").cast("string"), F.lit("NaN")).alias("v"))
+    pixels = rows.groupBy("band").agg(F.array_sort(F.collect_list(cell)).alias("p"))
+    line = lambda f: F.array_join(F.transform("p", f), "\t")
+    head = pixels.orderBy("band").limit(1).select(F.lit(0).alias("line"), F.concat(F.lit("band\t"), line(lambda p: F.concat(F.lit("("), p.x, F.lit(" "), p.y, F.lit(")")))).alias("text"))
+    body = pixels.select((F.col("band") + 1).alias("line"), F.concat(F.col("band").cast("string"), F.lit("\t"), line(lambda p: p.v)).alias("text"))
+    return head.union(body).orderBy("line")
 
 
 def import_wavelengths(lines: DataFrame, index: int = 0, by: str = "row") -> list[float]:
