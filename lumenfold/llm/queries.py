@@ -8,6 +8,7 @@ from lumenfold.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from lumenfold.llm.language import op3_language
 from lumenfold.llm.line_dedup import op5_line_dedup
 from lumenfold.llm.minhash_dedup import op6_near_dedup
+from lumenfold.llm.negatives import OP12_SQL, op12_hard_negatives
 from lumenfold.llm.packing import op8_packing
 from lumenfold.llm.sharding import op2_sharding
 from lumenfold.llm.toxicity import op7_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ann": op10_ann,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}
