@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,21 @@ def split_repeats(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame |
 def bounded_sample(df: DataFrame, on: Column, share: float) -> DataFrame:
     """The rows whose hash of ``on`` falls below ``share``: the same rows at any partitioning."""
     return df.where(F.pmod(F.xxhash64(on), F.lit(1_000_003)) < F.lit(int(min(1.0, share) * 1_000_003)))
+
+
+def placed(df: DataFrame, group: str, order: list[str], amount: Column | None = None) -> DataFrame:
+    """``df`` with ``at``, the sum of ``amount`` (1 for each row by default) over the earlier rows of its group in an order,
+    and ``total``, that of the whole group, which may be of any size; ``group`` holds no null.
+
+    Rows are sorted by ranges, whose totals give the offsets; rows that are equal in all columns are split by a number.
+    """
+    spread = df.withColumn("_amount", amount if amount is not None else F.lit(1).cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+    rows = cut(spread.orderBy(group, *order, "_tie").drop("_tie").withColumn("_uid", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_uid", 33))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(group, "_part").agg(F.sum("_amount").alias("_sum"))
+    parts = parts.select(group, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("total"))
+    within = Window.partitionBy(group, "_part").orderBy("_uid").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_within", F.coalesce(F.sum("_amount").over(within), F.lit(0))).join(parts, [group, "_part"])
+    return numbered.withColumn("at", F.col("_before") + F.col("_within")).drop("_amount", "_uid", "_part", "_before", "_within")

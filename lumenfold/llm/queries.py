@@ -7,6 +7,7 @@ from lumenfold.llm.bpe import op1_bpe
 from lumenfold.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from lumenfold.llm.language import op3_language
 from lumenfold.llm.line_dedup import op5_line_dedup
+from lumenfold.llm.merkle import OP13_SQL, op13_merkle
 from lumenfold.llm.minhash_dedup import op6_near_dedup
 from lumenfold.llm.negatives import OP12_SQL, op12_hard_negatives
 from lumenfold.llm.packing import op8_packing
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ann": op10_ann,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle": OP13_SQL}
