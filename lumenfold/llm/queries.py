@@ -9,6 +9,7 @@ from lumenfold.llm.language import op3_language
 from lumenfold.llm.line_dedup import op5_line_dedup
 from lumenfold.llm.merkle import OP13_SQL, op13_merkle
 from lumenfold.llm.minhash_dedup import op6_near_dedup
+from lumenfold.llm.mixing import op11_mixing
 from lumenfold.llm.negatives import OP12_SQL, op12_hard_negatives
 from lumenfold.llm.packing import op8_packing
 from lumenfold.llm.sharding import op2_sharding
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ann": op10_ann,
+    "op11_mixing": op11_mixing,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle": op13_merkle,
 }
