@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.registry import finite
+from lumenfold.operators.polygon import polygon_cells
 
 
 def rectangle(x: Column, y: Column, x1: int, y1: int, x2: int, y2: int) -> Column:
@@ -28,17 +29,6 @@ def inside_polygon(x: Column, y: Column, points: Sequence[tuple[float, float]])
     return crossings % 2 == 1
 
 
-def touches_polygon(x: Column, y: Column, points: Sequence[tuple[float, float]]) -> Column:
-    """Pixel cells whose centre is inside, or that an edge passes within half a cell of (all touched, up to corners)."""
-    out = inside_polygon(x + 0.5, y + 0.5, points)
-    for (xa, ya), (xb, yb) in zip(points, [*points[1:], points[0]], strict=True):
-        length = (xb - xa) ** 2 + (yb - ya) ** 2
-        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x + 0.5 - xa) * (xb - xa) + (y + 0.5 - ya) * (yb - ya)) / (length or 1.0)))
-        dx, dy = x + 0.5 - (xa + along * (xb - xa)), y + 0.5 - (ya + along * (yb - ya))
-        out = out | ((F.abs(dx) < 0.5) & (F.abs(dy) < 0.5))
-    return out
-
-
 def pixels_of(*selections: DataFrame) -> DataFrame:
     """The union of selections (roi_id, x, y), each pixel once."""
     out = selections[0].select("roi_id", "x", "y")
@@ -48,8 +38,9 @@ def pixels_of(*selections: DataFrame) -> DataFrame:
 
 
 def polygon_pixels(grid: DataFrame, roi_id: int, points: Sequence[tuple[float, float]], all_touched: bool = True) -> DataFrame:
-    test = touches_polygon if all_touched else lambda x, y, p: inside_polygon(x + 0.5, y + 0.5, p)
-    return grid.where(test(F.col("x"), F.col("y"), points)).select(F.lit(roi_id).cast("long").alias("roi_id"), "x", "y")
+    """(roi_id, x, y) of the grid's pixels in a polygon."""
+    one = grid.sparkSession.createDataFrame([(roi_id, [[float(v) for v in p] for p in points])], "roi_id long, points array<array<double>>")
+    return polygon_cells(one, all_touched).join(grid.select("x", "y").distinct(), ["x", "y"], "left_semi").select("roi_id", "x", "y")
 
 
 def roi_spectrum(cube: DataFrame, roi: DataFrame, how: str = "mean") -> DataFrame:
@@ -137,15 +128,8 @@ def selection_json(type_: str, **places: Column) -> Column:
     return F.to_json(F.struct(F.lit(type_).alias("type"), *(c.alias(name) for name, c in places.items())))
 
 
-def _holds(points: Column, x: Column, y: Column) -> Column:
-    """Whether a ray to the right of a place crosses an odd number of the edges of a polygon in a column."""
-    turned = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
-    crosses = lambda a, b: ((y < a[1]) != (y < b[1])) & (x < F.try_divide((b[0] - a[0]) * (y - a[1]), (b[1] - a[1]).cast("double")) + a[0])
-    return F.aggregate(F.zip_with(points, turned, lambda a, b: F.coalesce(crosses(a, b), F.lit(False)).cast("int")), F.lit(0), lambda s, v: s + v) % 2 == 1
-
-
 def selection_pixels(selections: DataFrame) -> DataFrame:
-    """(roi_id, x, y) of selections (roi_id, json), each pixel once; polygons take the cells whose centre is inside.
+    """(roi_id, x, y) of selections (roi_id, json), each pixel once; polygons take all cells that they touch.
 
     NULL or unreadable text and predicates, which need an image (``predicate_pixels``), give no pixels. A rectangle is
     spread by lines, then by columns, so that a large one isn't one array.
@@ -153,12 +137,11 @@ def selection_pixels(selections: DataFrame) -> DataFrame:
     s = selections.select("roi_id", F.from_json("json", SELECTION).alias("s")).select("roi_id", "s.*")
     listed = F.when(F.col("type") == "SINGLE_PIXEL", F.array("pixel")).when(F.col("type") == "MULTI_PIXEL", F.col("pixels"))
     single = s.select("roi_id", F.explode(listed).alias("p")).select("roi_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
-    at = lambda c, i: F.transform(F.when(F.col("type") == "POLYGON", F.col("points")).when(F.col("type") == "RECTANGLE", F.array("point1", "point2")), lambda p: p[i])
-    box = s.select("roi_id", "type", "points", *(f(at("s", i)).alias(n + c) for i, c in enumerate("xy") for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))))
+    at = lambda i: F.array(F.col("point1")[i], F.col("point2")[i])
+    box = s.where("type = 'RECTANGLE'").select("roi_id", *(f(at(i)).alias(n + c) for i, c in enumerate("xy") for f, n in ((F.array_min, "lo"), (F.array_max, "hi"))))
     lines = box.where("hix > lox AND hiy > loy").select("*", F.explode(F.sequence("loy", F.col("hiy") - 1)).alias("y"))
-    cells = lines.select("*", F.explode(F.sequence("lox", F.col("hix") - 1)).alias("x"))
-    spread = cells.where((F.col("type") == "RECTANGLE") | _holds(F.col("points"), F.col("x") + 0.5, F.col("y") + 0.5))
-    return pixels_of(single, spread)
+    cells = lines.select("roi_id", F.explode(F.sequence("lox", F.col("hix") - 1)).alias("x"), "y")
+    return pixels_of(single, cells, polygon_cells(s.where("type = 'POLYGON'").select("roi_id", "points")))
 
 
 def fewest_rectangles(roi: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from lumenfold.functions.registry import BandFunction, Registry
 from lumenfold.operators import matching, pca, raster, roi
 from lumenfold.operators.bandmath import Image, evaluate
 from lumenfold.plans.inputs import GOOD, SQL, WAVELENGTHS, cube, references, table
+from lumenfold.plans.more_queries import clipped
 from lumenfold.plans.spectral_queries import _DOTS
 from lumenfold.session import scratch
 from lumenfold.sources import envi, spectra_text
@@ -54,7 +55,10 @@ def result_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """, s AS (SELECT event_id AS roi_id, event_id % 5 AS k, (event_id % 17)::INT AS x, (event_id % 23)::INT AS y FROM events),
     cells AS (SELECT a.i::INT AS i, b.j::INT AS j FROM range(6) a(i), range(5) b(j)), e AS (SELECT unnest([0, 6, 2]) AS ax, unnest([0, 1, 5]) AS ay, unnest([6, 2, 0]) AS bx, unnest([1, 5, 0]) AS byy),
-    tri AS (SELECT i, j FROM cells, e GROUP BY i, j HAVING sum((((j + 0.5 < ay) <> (j + 0.5 < byy)) AND i + 0.5 < (bx - ax) * (j + 0.5 - ay) / (byy - ay)::DOUBLE + ax)::INT) % 2 = 1)
+    tri AS (SELECT i, j FROM cells, e GROUP BY i, j HAVING sum((((j + 0.5 < ay) <> (j + 0.5 < byy)) AND i + 0.5 < (bx - ax) * (j + 0.5 - ay) / (byy - ay)::DOUBLE + ax)::INT) % 2 = 1
+      UNION SELECT x, y FROM ("""
+    + clipped("(SELECT i AS x, j AS y FROM cells)", "(SELECT ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, byy::DOUBLE AS bby FROM e)")
+    + """))
     SELECT roi_id, x, y FROM s WHERE k = 0 UNION ALL SELECT roi_id, x + d.i::INT, y FROM s, range(2) d(i) WHERE k = 1 UNION ALL SELECT roi_id, x + i, y + j FROM s, cells WHERE k = 2 AND i < 5 AND j < 3 UNION ALL SELECT roi_id, x + i, y + j FROM s, tri WHERE k = 3"""
 )
 def selections_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:

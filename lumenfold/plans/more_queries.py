@@ -96,15 +96,17 @@ def roi_polygon_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.polygon_pixels(cube(spark, sf_dir), 3, _POLY, all_touched=False)
 
 
-def _near_edge(x: str, y: str) -> str:
-    out = []
-    for (xa, ya), (xb, yb) in zip(_POLY, [*_POLY[1:], _POLY[0]], strict=True):
-        t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({x} - {xa}::DOUBLE) * ({xb - xa})::DOUBLE + ({y} - {ya}::DOUBLE) * ({yb - ya})::DOUBLE) / {(xb - xa) ** 2 + (yb - ya) ** 2}::DOUBLE))"
-        out.append(f"(abs({x} - ({xa}::DOUBLE + {t} * ({xb - xa})::DOUBLE)) < 0.5 AND abs({y} - ({ya}::DOUBLE + {t} * ({yb - ya})::DOUBLE)) < 0.5)")
-    return " OR ".join(out)
+def clipped(cells: str, edges: str) -> str:
+    """Cells (x, y) of ``cells`` that keep more than a point of an edge (ax, ay, bx, bby) of ``edges`` which is clipped by them."""
+    lo = lambda c: f"CASE WHEN b{c} = a{c} THEN 0 ELSE least(({c} - a{c}) / (b{c} - a{c}), ({c} + 1 - a{c}) / (b{c} - a{c})) END".replace("by", "bby")
+    hi = lambda c: f"CASE WHEN b{c} = a{c} THEN (a{c} >= {c} AND a{c} < {c} + 1)::INT ELSE greatest(({c} - a{c}) / (b{c} - a{c}), ({c} + 1 - a{c}) / (b{c} - a{c})) END".replace("by", "bby")
+    return f"SELECT DISTINCT c.* FROM {cells} c, {edges} e WHERE least(1, {hi('x')}, {hi('y')}) - greatest(0, {lo('x')}, {lo('y')}) > 1e-9"
 
 
-@query(f"SELECT 4::BIGINT AS roi_id, x, y FROM p WHERE {_inside('(x + 0.5::DOUBLE)', '(y + 0.5::DOUBLE)')} OR {_near_edge('(x + 0.5::DOUBLE)', '(y + 0.5::DOUBLE)')}")
+_EDGES = ", ".join(f"({xa}::DOUBLE, {ya}::DOUBLE, {xb}::DOUBLE, {yb}::DOUBLE)" for (xa, ya), (xb, yb) in zip(_POLY, [*_POLY[1:], _POLY[0]], strict=True))
+
+
+@query(f", e(ax, ay, bx, bby) AS (VALUES {_EDGES}), g AS (SELECT x, y FROM p) SELECT 4::BIGINT AS roi_id, x, y FROM (SELECT x, y FROM g WHERE {_inside('(x + 0.5::DOUBLE)', '(y + 0.5::DOUBLE)')} UNION {clipped('g', 'e')})")
 def roi_polygon_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels that a polygon touches."""
     return roi.polygon_pixels(cube(spark, sf_dir), 4, _POLY)
