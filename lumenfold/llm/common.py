@@ -105,5 +105,5 @@ def placed(df: DataFrame, group: str, order: list[str], amount: Column | None =
     parts = rows.groupBy(group, "_part").agg(F.sum("_amount").alias("_sum"))
     parts = parts.select(group, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("total"))
     within = Window.partitionBy(group, "_part").orderBy("_uid").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("_within", F.coalesce(F.sum("_amount").over(within), F.lit(0))).join(parts, [group, "_part"])
+    numbered = rows.withColumn("_within", F.coalesce(F.sum("_amount").over(within), F.lit(0))).join(parts.hint("merge"), [group, "_part"])  # sorted by these already
     return numbered.withColumn("at", F.col("_before") + F.col("_within")).drop("_amount", "_uid", "_part", "_before", "_within")

@@ -183,7 +183,8 @@ def mix(rows: DataFrame, key: str = "doc_id", text: str = "text", group: str = "
     pieces = docs.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     start = F.col("block") * block
     pieces = pieces.withColumn("a", F.greatest(F.col("at") - start, F.lit(0))).withColumn("b", F.least(F.col("at") + F.col("size") - start, F.lit(block))).withColumn("first", start + F.col("a") - F.col("at"))
-    met = filled.join(pieces.select("number", "block", "a", "b", "first", "key", "row", "t1", "t2", "source"), ["number", "block"]).where("a < taken")
+    # both sides grow with the words, which Spark can't tell of rows from Python
+    met = filled.hint("merge").join(pieces.select("number", "block", "a", "b", "first", "key", "row", "t1", "t2", "source"), ["number", "block"]).where("a < taken")
     spans = met.select("shard", "slot", F.col("a").alias("at"), F.when(~F.col("source.missing"), F.col("source.name")).alias("source"), "key", "row", "t1", "t2", "first", (F.least("b", "taken") - F.col("a")).alias("words"))
     return Mix(docs.select("key", "row", "t1", "t2", "size", "source_size", "target"), spans, plan)
 
@@ -200,4 +201,4 @@ def texts(rows: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "t
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
     taken = found.spans.groupBy("row").agg(F.sum("words").alias("taken"))
-    return found.documents.join(taken, "row", "left").select(F.col("key").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return found.documents.join(taken.hint("merge"), "row", "left").select(F.col("key").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
