@@ -201,9 +201,9 @@ def with_paths(built: list[DataFrame], roots: DataFrame) -> DataFrame:
     """The lowest level with ``path`` and ``root``; ``roots`` (tree, path, root) has those of the trees' own roots."""
     found = None
     for nodes in reversed(built):
-        own = nodes.where("n = 1").join(roots, "tree")
+        own = nodes.where("n = 1").join(roots.hint("merge"), "tree")
         if found is not None:
-            own = own.unionByName(nodes.where("n > 1").join(found.drop("item"), ["tree", "at"]))
+            own = own.unionByName(nodes.where("n > 1").join(found.drop("item").hint("merge"), ["tree", "at"]))
         if nodes is not built[0]:
             found = below(own)
     return own
@@ -238,7 +238,7 @@ def manifest(rows: DataFrame, fields: list[str], key: str = "doc_id", group: str
 
     none = F.from_json(F.lit("[]"), PATH)
     ends = top[-1].where("n = 1").select("tree", none.alias("path"), F.col("digest").alias("root"))
-    of_groups = below(with_paths(top, ends)).select(F.col("item").alias("tree"), "path").join(subroots.withColumnRenamed("digest", "root"), "tree")
+    of_groups = below(with_paths(top, ends)).select(F.col("item").alias("tree"), "path").join(subroots.withColumnRenamed("digest", "root").hint("merge"), "tree")
     lowest = with_paths(built, of_groups)
     replaced = F.transform("kids", lambda k: F.coalesce(k.item.replaced, k.digest))
     folded = lowest.select("kids", F.col("root").alias("subroot"), fold(F.col("kids.digest"), replaced, F.col("states"), F.col("path")).alias("found"))
