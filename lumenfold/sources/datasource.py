@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -49,6 +50,9 @@ def listed(path: str) -> list[str]:
     found, place = store(path)
     info = found.get_file_info(place)
     if info.type == fs.FileType.File:
+        for label in (re.sub(r"\.[^./]*$", "", path) + end for end in (".xml", ".lbl")):  # it speaks for its values
+            if found.get_file_info(store(label)[1]).type == fs.FileType.File:
+                return [label]
         return [path]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
