@@ -17,11 +17,11 @@ rows; columns named lang_pred, score or accepted are replaced, others pass throu
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from lumenfold.llm.common import cut, table
 
 BUCKETS, DIMENSIONS = 1 << 14, 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # no numerals, marks or symbols
 #: Bytes as subwords see them: lower-case letters and the bytes of other scripts, all else a space.
 PLAIN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)

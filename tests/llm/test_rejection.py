@@ -20,3 +20,15 @@ def test_unlearned_languages_and_junk_are_rejected(spark):
     found = {r["doc_id"]: r["accepted"] for r in language.predict(df, language.train(df)).collect()}
     assert not any(found[i] for i in found if i >= 1000)
     assert np.mean([found[i] for i in range(600)]) > 0.98
+
+
+def test_only_letters_are_letters(spark):
+    """Numerals, marks, symbols and emoji alone are no text of a language; one letter is enough for a prediction."""
+    rows = [(i, f"{w} {w} {w}", k) for i, (w, k) in enumerate([("the cat sat", "en"), ("der hund lief", "de")] * 200)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    none = ["½ ² ①", "Ⅷ ↀ", "\u0301\u20e3", "१२३ ٤٥", "_ - 7", "😀 ©", "〇〡", None, ""]
+    some = ["½ a", "ª", "ʰ", "漢", "é", "ไ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(none + some)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df, model).collect()}
+    assert all(found[i] == ("und", 0.0) for i in range(len(none)))
+    assert all(found[len(none) + i][0] in ("en", "de") for i in range(len(some)))
