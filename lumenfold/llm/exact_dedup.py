@@ -7,16 +7,18 @@ is filled again from its stored keys. A row with a larger id than the live one o
 live entry is deleted and the new one inserted.
 
 Rows meet twice: first each scan task runs its rows through an index of its own, which collapses a hot text to a row
-for each task; then rows are shuffled by digest (no texts move) and each task indexes its share. An index is as large
-as the share of a task, which Spark's partition size bounds. A join brings the result back to all rows.
+for each task; then rows are shuffled by digest (no texts move), into as many tasks as the count of rows asks for, and
+each task indexes its share: INDEX_ROWS or so. A join brings the result back to all rows.
 
 Defined results: a null text equals the empty one; of rows with equal text the largest id stays, a null id before
-none; of repeated rows with that id exactly one stays; an empty table gives no rows; other columns are ignored
-unless they are named in ``carry``.
+none; of repeated rows with that id exactly one stays; an empty table gives no rows; ids are integers (another type is
+cast to one, or fails); other columns are ignored unless they are named in ``carry``.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import cut, table
 
 SLOTS, KICKS, LOAD = 4, 200, 0.9
+#: Digests that a task indexes after the shuffle, some 100 bytes each.
+INDEX_ROWS = 2_000_000
 LEAST = -(1 << 63)
 
 
@@ -170,7 +174,10 @@ def mark_copies(df: DataFrame, text: str = "text", key: str = "doc_id", carry: t
     rows = cut(df.select(key, *carry, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.monotonically_increasing_id().alias("uid")))
     single = rows.select("digest", F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("group_size"))
     local = single.mapInArrow(_index, LIVE)
-    live = local.repartition("digest").mapInArrow(_index, LIVE)
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = math.ceil(rows.count() / INDEX_ROWS)  # of rows without texts
+    dealt = local.repartition("digest") if wanted <= shuffled else local.repartition(wanted, "digest")
+    live = dealt.mapInArrow(_index, LIVE)
     return rows.join(live, "digest").select(
         key,
         *carry,
