@@ -38,6 +38,9 @@ CHUNK, HELD = 400_000, 400_000
 TEXTS, LOW = 1 << 16, np.uint64((1 << 48) - 1)
 #: Links that one task joins at last, 16 bytes each; more are joined by rounds of star contraction first.
 FINISH = 500_000
+#: Bytes of band rows that a task meets at a time, and of band rows for a byte of a Parquet file of texts (of lines, at
+#: most); places for each partition at most.
+PLACE_BYTES, BAND_BYTES, MOST_PLACES = 256 << 20, 16, 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STAR = "bucket long, id long, tag long, rid long, rtag long"
 
@@ -149,14 +152,11 @@ def packed(parts, places: int):
 
 
 def _meet(batches):
-    """The rows of a partition of buckets: ties pass, the loose ones are tied to the smallest of their bucket."""
-    held = []
-    for batch in batches:
-        loose, stars = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64).reshape(-1, n) for c, n in (("loose", 3), ("stars", 5)))
-        held.append(loose)
-        if len(stars):
-            yield _star_batch(stars)
-    if held:
+    """The rows of a partition of places, which come one after the other: ties pass, the loose ones of a place are tied
+    to the smallest of their bucket. One place is held at a time."""
+    held, own = [], None
+
+    def met():
         rows = np.concatenate(held)
         held.clear()
         at, first = ties(*rows.T)
@@ -165,6 +165,26 @@ def _meet(batches):
         for i in range(0, len(at), 100_000):
             yield _star_batch(np.concatenate([rows[at[i : i + 100_000]], rows[first[i : i + 100_000], 1:]], 1))
 
+    for batch in batches:
+        for place, loose, stars in zip(*(batch.column(c).to_pylist() for c in ("place", "loose", "stars")), strict=True):
+            if place != own and held:
+                yield from met()
+            own = place
+            held.append(np.frombuffer(loose, np.int64).reshape(-1, 3))
+            if stars:
+                yield _star_batch(np.frombuffer(stars, np.int64).reshape(-1, 5))
+    if held:
+        yield from met()
+
+
+def places_for(items: DataFrame, partitions: int) -> int:
+    """How many places the buckets of some texts are dealt into: a multiple of the partitions, so that the band rows of
+    a place (BAND_BYTES for a byte of the texts' files, as Spark tells them) fit into PLACE_BYTES."""
+    size = int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # rows that Spark knows nothing of
+        size = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 3
+    return partitions * max(1, min(MOST_PLACES, -(-size * BAND_BYTES // (PLACE_BYTES * partitions))))
+
 
 def least_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For 0 to n - 1 the smallest of its component under the links (a, b)."""
@@ -288,9 +308,11 @@ def verified(pairs: DataFrame, family: Family, threshold: float) -> DataFrame:
 def linked(items: DataFrame, keys: Callable, family: Family, threshold: float) -> DataFrame:
     """(id, tag, root) for the items that have a near duplicate. items: (id, tag, text), where names may repeat; keys:
     from batches of items to (names, buckets of each name)."""
-    places = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = places_for(items, partitions)
     bands = items.mapInArrow(lambda batches: packed(keys(batches), places), "place int, loose binary, stars binary")
-    starred = stored(bands.repartitionById(places, "place").mapInArrow(_meet, STAR))
+    dealt = bands.repartitionById(partitions, (F.col("place") % partitions).cast("int"))
+    starred = stored((dealt.sortWithinPartitions("place") if places > partitions else dealt).mapInArrow(_meet, STAR))
     reps = starred.select(F.col("rid").alias("id"), F.col("rtag").alias("tag"))
     names = starred.select("id", "tag").union(reps).distinct()
     # copies are collapsed before they are shuffled

@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 
-from lumenfold.llm import minhash_dedup
+from lumenfold.llm import minhash_dedup, neardup
 
 
 def test_uneven_repeats_are_linked(spark):
@@ -28,3 +28,17 @@ def test_signatures_do_not_see_counts(spark):
     df = spark.createDataFrame(list(enumerate(both)), "id long, text string")
     rows = minhash_dedup.signed(df).collect()
     assert {r["bucket"] for r in rows if r["id"] == 0} == {r["bucket"] for r in rows if r["id"] == 1}
+
+
+def test_places_change_nothing(spark, monkeypatch):
+    """Buckets of one partition that are met place by place give the same classes."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(30)]
+    rows = [(100 * i + k, " ".join(b[:k] + ["x"] * (k % 3) + b[k:])) for i, b in enumerate(base) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, minhash_dedup.near_classes(df).collect()))
+    monkeypatch.setattr(neardup, "PLACE_BYTES", 2000)
+    assert neardup.places_for(df, 4) > 40
+    assert sorted(map(tuple, minhash_dedup.near_classes(df).collect())) == whole
+    assert len({r[1] for r in whole}) < 60
