@@ -14,15 +14,20 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.dtypes import result_dtype
 from lumenfold.functions.registry import Registry, finite
+from lumenfold.sources.envi import result_header
 
 TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:\.\d*)?|\.\d+)|(?P<name>[A-Za-z_]\w*)|(?P<string>"[^"]*"|'[^']*')|(?P<op>\*\*|==|!=|>=|<=|[-+*/<>(),=]))""")
 COMPARE = ("==", "!=", ">", "<", ">=", "<=")
+ANGLES = ("sin", "cos", "tan", "arcsin", "arccos", "arctan", "arctan2")
+MARK = "variable "  # before the names of columns, so that a variable may be named like a key
 RANK = {"cube": 3, "band": 2, "spectrum": 1, "number": 0, "boolean": 0}
 
 
@@ -39,6 +44,8 @@ class Image:
     frame: DataFrame
     keys: tuple[str, ...] = ("y", "x")
     bands: int | None = None
+    dtype: str | None = None  # numpy's name of the type of its values, if it is known
+    header: dict | None = None  # what is known of it, in the keys of an ENVI header
 
 
 @dataclass(frozen=True)
@@ -46,6 +53,8 @@ class Typed:
     kind: str
     column: Column
     length: int | None = None
+    dtype: str | None = None
+    source: str | None = None  # the image that tells what is known of the result
 
 
 Variable = Image | Sequence[float | None] | float
@@ -116,7 +125,7 @@ class Compiler:
         x = self.term()
         if x.kind not in RANK or x.kind == "boolean":
             raise BandMathError(f"no sign for a {x.kind}")
-        return Typed(x.kind, F.transform(x.column, lambda v: -v) if x.kind in ("cube", "spectrum") else -x.column, x.length)
+        return replace(x, column=F.transform(x.column, lambda v: -v) if x.kind in ("cube", "spectrum") else -x.column)
 
     def term(self) -> Typed:
         if not self.todo:
@@ -178,12 +187,17 @@ class Compiler:
             if kinds not in (["cube", "spectrum"], ["cube", "cube"], ["spectrum", "spectrum"]):
                 raise BandMathError(f"{name} doesn't take {' and '.join(kinds)}")
             fit(args)
-            return Typed("band" if "cube" in kinds else "number", f.build(*(x.column for x in args)))
-        return elementwise(f.build, args)
+            kind = "band" if "cube" in kinds else "number"
+            return Typed(kind, f.build(*(x.column for x in args)), None, None if kind == "number" else result_dtype(args[0].dtype, args[1].dtype), source_of(args))
+        out = elementwise(f.build, args)
+        if name in ANGLES and out.kind != "number":
+            return replace(out, dtype=result_dtype(max(args, key=lambda x: RANK.get(x.kind, 0)).dtype, None, "trig"))
+        return out
 
     def binary(self, op: str, a: Typed, b: Typed) -> Typed:
         if op in COMPARISONS:
-            return elementwise(lambda x, y: COMPARISONS[op](x, y).cast("int"), [a, b])
+            out = elementwise(lambda x, y: COMPARISONS[op](x, y).cast("int"), [a, b])
+            return out if out.kind == "number" else replace(out, dtype="int8")
         if RANK.get(a.kind) == RANK.get(b.kind) == 0 and "boolean" in (a.kind, b.kind):
             raise BandMathError(f"no {op} for {a.kind} and {b.kind}")
         return elementwise(ARITHMETIC[op], [a, b])
@@ -206,17 +220,30 @@ def elementwise(build: Callable[..., Column], args: Sequence[Typed]) -> Typed:
     kind = max(kinds, key=RANK.get)
     kind = "number" if RANK[kind] == 0 else kind
     wide = [x for x in args if x.kind in ("cube", "spectrum")]
-    length = fit(wide)
+    made = {"kind": kind, "length": fit(wide), "dtype": dtype_of(kind, args), "source": source_of(args)}
     if not wide:
-        return Typed(kind, build(*(x.column for x in args)))
+        return Typed(column=build(*(x.column for x in args)), **made)
     if len(args) == 1:
-        return Typed(kind, F.transform(args[0].column, build), length)
+        return Typed(column=F.transform(args[0].column, build), **made)
     a, b = args
     if len(wide) == 2:
-        return Typed(kind, F.zip_with(a.column, b.column, build), length)
+        return Typed(column=F.zip_with(a.column, b.column, build), **made)
     if a is wide[0]:
-        return Typed(kind, F.transform(a.column, lambda v: build(v, b.column)), length)
-    return Typed(kind, F.transform(b.column, lambda v: build(a.column, v)), length)
+        return Typed(column=F.transform(a.column, lambda v: build(v, b.column)), **made)
+    return Typed(column=F.transform(b.column, lambda v: build(a.column, v)), **made)
+
+
+def dtype_of(kind: str, args: Sequence[Typed]) -> str | None:
+    """The type of arithmetic on values: of a cube by promotion of both types, of a band or spectrum that of the first
+    operand which is one; numbers have none."""
+    if kind == "cube" and len(args) == 2:
+        return result_dtype(args[0].dtype, args[1].dtype)
+    return None if kind == "number" else next(x.dtype for x in args if x.kind == kind)
+
+
+def source_of(args: Sequence[Typed]) -> str | None:
+    """The first of the operands of the highest kind tells what is known of a result."""
+    return max((x for x in args if x.source is not None), key=lambda x: RANK.get(x.kind, 0), default=Typed("number", F.lit(0))).source
 
 
 def variables_of(text: str) -> set[str]:
@@ -250,33 +277,98 @@ def parses(text: str) -> bool:
     return True
 
 
-def evaluate(text: str, variables: Mapping[str, Variable], functions: Registry | None = None) -> tuple[str, DataFrame | Column]:
-    """(kind, result): a frame of keys and ``spectrum`` or ``value`` for images, else a Column."""
+@dataclass(frozen=True)
+class Result:
+    """What an expression gives: ``frame`` holds its keys and ``spectrum`` or ``value``, or there is a ``column`` only.
+    ``dtype`` is the type by the types of its images, ``header`` what is known of it."""
+
+    kind: str
+    frame: DataFrame | None
+    column: Column | None
+    keys: tuple[str, ...] = ()
+    dtype: str | None = None
+    header: dict | None = None
+
+    def typed(self) -> DataFrame:
+        """The frame with its values in the type of the result, fractions cut off where that has none. What the type
+        can't hold is missing; unsigned types take the next larger type of Spark."""
+        if self.frame is None:
+            raise BandMathError("a number has no frame")
+        name = "spectrum" if self.kind == "cube" else "value"
+        if self.dtype is None or self.dtype.startswith("complex"):
+            return self.frame
+        one = lambda v: stored_as(v, self.dtype)
+        return self.frame.withColumn(name, F.transform(name, one) if self.kind == "cube" else one(F.col(name)))
+
+    def save(self, path: str, format: str = "envi", ignore: float | None = None) -> dict:
+        """Writes a cube or band of one dataset as one raster file with what is known of it; that is returned."""
+        from lumenfold.sources.datasource import write_file
+
+        if self.kind not in ("cube", "band") or self.keys != ("y", "x") or not self.header:
+            raise BandMathError("a cube or band by y and x with a header is saved")
+        head = self.header
+        frame = self.typed() if self.kind == "cube" else self.typed().withColumn("spectrum", F.array("value"))
+        kind = np.dtype(self.dtype or "float32")
+        whole = lambda k: [float(v) for v in head[k]] if head.get(k) else None
+        options = {"width": int(head["samples"]), "height": int(head["lines"]), "bands": int(head["bands"]), "kind": kind.str[1:], "ignore": ignore, "wavelengths": whole("wavelength"), "unit": head.get("wavelength units"), "names": head.get("band names"), "good": [bool(v) for v in whole("bbl")] if head.get("bbl") else None, "gt": envi_transform(head)}
+        write_file(frame.select("y", "x", "spectrum"), path, format, **options)
+        return head
+
+
+def envi_transform(head: Mapping) -> list[float] | None:
+    from lumenfold.sources.envi_file import transform
+
+    found = transform(dict(head))
+    return None if found is None else list(found)
+
+
+#: Spark's type, least and largest value of each type of values.
+STORED = {n: (t, int(np.iinfo(n).min), int(np.iinfo(n).max)) for n, t in (("int8", "tinyint"), ("uint8", "smallint"), ("int16", "smallint"), ("uint16", "int"), ("int32", "int"), ("uint32", "bigint"), ("int64", "bigint"), ("uint64", "decimal(20,0)"))}
+
+
+def stored_as(value: Column, dtype: str) -> Column:
+    if dtype not in STORED:
+        return value.cast({"float32": "float", "float16": "float"}.get(dtype, "double"))
+    kind, low, high = STORED[dtype]
+    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)) if kind != "decimal(20,0)" else value.try_cast(kind)
+    return F.when((value > low - 1) & (value < high + 1), whole.try_cast(kind))
+
+
+def compute(text: str, variables: Mapping[str, Variable], functions: Registry | None = None) -> Result:
+    """An expression over images, spectra and numbers."""
     variables = {k.lower(): v for k, v in variables.items()}
     names: dict[str, Typed] = {}
     used = variables_of(text)
     images: list[tuple[str, Image]] = []
     for name, v in variables.items():
         if isinstance(v, Image):
-            names[name] = Typed(v.kind, F.col(f"`{name}`"), v.bands)
+            names[name] = Typed(v.kind, F.col(f"`{MARK}{name}`"), v.bands, v.dtype, name)
             if name in used:
                 images.append((name, v))
         elif isinstance(v, int | float):
             names[name] = Typed("number", F.lit(float(v)))
         else:
-            names[name] = Typed("spectrum", F.array(*(F.lit(x).cast("double") for x in v)), len(v))
+            names[name] = Typed("spectrum", F.array(*(F.lit(x).cast("double") for x in v)), len(v), "float64")
     result = Compiler(text, names, functions or Registry()).whole()
     if not images:
-        return result.kind, result.column
+        return Result(result.kind, None, result.column)
     frame, keys = None, ()
     taken: list[tuple[DataFrame, str, str]] = []
     for name, image in sorted(images, key=lambda x: -len(x[1].keys)):
         value = "spectrum" if image.kind == "cube" else "value"
         same = next((other for source, v, other in taken if source is image.frame and v == value), None)
         if same is not None:  # the same dataset again: no second read or join
-            frame = frame.withColumn(name, F.col(f"`{same}`"))
+            frame = frame.withColumn(MARK + name, F.col(f"`{same}`"))
             continue
-        own = image.frame.select(*image.keys, F.col(value).alias(name))
+        own = image.frame.select(*image.keys, F.col(value).alias(MARK + name))
         frame, keys = (own, image.keys) if frame is None else (frame.join(own, [k for k in image.keys if k in keys]), keys)
-        taken.append((image.frame, value, name))
-    return result.kind, frame.select(*keys, result.column.alias("spectrum" if result.kind == "cube" else "value"))
+        taken.append((image.frame, value, MARK + name))
+    source = variables[result.source].header if result.source else None
+    head = None if source is None else result_header(source, result.kind)
+    return Result(result.kind, frame.select(*keys, result.column.alias("spectrum" if result.kind == "cube" else "value")), None, tuple(keys), result.dtype, head)
+
+
+def evaluate(text: str, variables: Mapping[str, Variable], functions: Registry | None = None) -> tuple[str, DataFrame | Column]:
+    """(kind, result): a frame of keys and ``spectrum`` or ``value`` for images, else a Column."""
+    found = compute(text, variables, functions)
+    return found.kind, found.column if found.frame is None else found.frame

@@ -6,6 +6,7 @@ use the long form; everything else stays packed, where an expression over the ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +93,35 @@ def downsample(band: DataFrame, factor: int, keys: Sequence[str] = ()) -> DataFr
     return band.groupBy(*keys, y, x).agg(F.avg("value").alias("value"))
 
 
+def downsample_gauss(band: DataFrame, factor: float, width: int, height: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(…keys, y, x, value): a band of int(width / factor) x int(height / factor) pixels, weighted over blocks that overlap.
+
+    The weights are binomial, of 3 x 3 pixels up to a factor of 2, of 5 x 5 up to 4 and of 7 x 7 beyond, around the
+    middle of the block that an output pixel covers; pixels that are missing or outside share their weight among the
+    others. Each pixel goes to the few outputs that its weight reaches, and one aggregate ends it.
+    """
+    if factor < 1 or width < factor or height < factor:
+        raise ValueError("the factor is from 1 to the size of the band")
+    step = max(int(0.5 + width / int(width / factor)), int(0.5 + height / int(height / factor)))
+    wide = 3 if step <= 2 else 5 if step <= 4 else 7
+    weights = F.array(*(F.lit(float(math.comb(wide - 1, i))) for i in range(wide)))
+
+    def reached(c: str, size: int) -> Column:
+        """(output, weight) along an axis."""
+        count = int(size / factor)
+        ratio = size / count
+        first = lambda i: (F.floor(0.5 + i * ratio) + F.floor((F.floor(0.5 + (i + 1) * ratio) - F.floor(0.5 + i * ratio)) / 2) - wide // 2).cast("int")
+        low, high = F.greatest(F.lit(0), F.floor((F.col(c) - wide) / ratio).cast("int") - 1), F.least(F.lit(count - 1), F.floor((F.col(c) + wide) / ratio).cast("int") + 1)
+        near = F.filter(F.sequence(low, F.greatest(low, high)), lambda i: (i < count) & (F.col(c) >= first(i)) & (F.col(c) < first(i) + wide))
+        return F.transform(near, lambda i: F.struct(i.alias("i"), F.get(weights, F.col(c) - first(i)).alias("w")))
+
+    inside = band.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).withColumn("value", finite(F.col("value")))
+    rows = inside.select(*keys, "value", reached("y", height).alias("_y"), F.explode(reached("x", width)).alias("_x")).select(*keys, "value", "_x", F.explode("_y").alias("_y"))
+    weight = F.col("_x.w") * F.col("_y.w")
+    known = F.when(F.col("value").isNotNull(), weight)
+    return rows.groupBy(*keys, F.col("_y.i").alias("y"), F.col("_x.i").alias("x")).agg(F.try_divide(F.sum(F.col("value") * weight), F.sum(known)).alias("value"))
+
+
 def normalized(band: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(value - min) / (max - min) over finite values; zeros where all are equal."""
     clean = band.withColumn("value", finite(F.col("value")))
@@ -171,8 +201,6 @@ def first_masked(spectrum: Column) -> Column:
 
 
 def in_spatial_bounds(gx: Column, gy: Column, gt: Sequence[float], width: int, height: int) -> Column:
-    """Whether a place lies in the raster of a geotransform."""
-    det = gt[1] * gt[5] - gt[2] * gt[4]
-    dx, dy = gx - gt[0], gy - gt[3]
-    x, y = (dx * gt[5] - dy * gt[2]) / det, (dy * gt[1] - dx * gt[4]) / det
-    return (x >= 0) & (x < width) & (y >= 0) & (y < height)
+    """Whether a place lies in the box of a raster's corners, the edges included; a rotation of the raster doesn't count."""
+    (x0, x1), (y0, y1) = (sorted((gt[i], gt[i] + gt[j] * n)) for i, j, n in ((0, 1, width), (3, 5, height)))
+    return gx.between(x0, x1) & gy.between(y0, y1)

@@ -162,10 +162,10 @@ def enlarge_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.rotate_bilinear(band, 0.0, 2.0, 25, height).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), r6("value"))
 
 
-@query("SELECT event_id, px >= 0 AND px < 50 AND py >= 0 AND py < 40 AS inside FROM (SELECT event_id, (x * 31.5::DOUBLE) / 30.0::DOUBLE AS px, (y * 27.0::DOUBLE) / 30.0::DOUBLE AS py FROM i)")
+@query("SELECT event_id, gx BETWEEN 400000 AND 400000 + 50 * 30 AND gy BETWEEN 5200000 - 40 * 30 AND 5200000 AS inside FROM (SELECT event_id, 400000 + x * 31.5::DOUBLE AS gx, 5200000 - y * 30.0::DOUBLE AS gy FROM i)")
 def spatial_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt = [400000.0, 30.0, 0.0, 5200000.0, 0.0, -30.0]
-    return image(spark, sf_dir, "event_id").select("event_id", raster.in_spatial_bounds(400000.0 + F.col("x") * 31.5, 5200000.0 - F.col("y") * 27.0, gt, 50, 40).alias("inside"))
+    return image(spark, sf_dir, "event_id").select("event_id", raster.in_spatial_bounds(400000.0 + F.col("x") * 31.5, 5200000.0 - F.col("y") * 30.0, gt, 50, 40).alias("inside"))
 
 
 @query("SELECT event_id, round(sqrt((x - 7) * (x - 7) + (y - 9) * (y - 9)), 6) AS d, abs(x - 7) + abs(y - 9) AS m FROM i")

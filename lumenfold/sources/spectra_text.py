@@ -6,11 +6,14 @@ spectra are small, and many files are read at once (each by its path).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LAYOUTS = ("none", "first", "odd")
-PAD = 9999.0  # fixed value: fills shorter spectra in an export
+PAD = 9999  # fixed value: fills shorter spectra in an export
+MOST_SPECTRA = 10_000  # of one file, each two columns wide
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -49,18 +52,33 @@ def import_spectra(lines: DataFrame, delimiter: str = ",", header: bool = True,
     return spectra.join(names, ["path", "at"]).select("path", "column", "name", "wavelengths", "values")
 
 
+@F.arrow_udf(T.StringType())
+def number_text(values: pa.Array) -> pa.Array:
+    """Numbers as the format writes them, the shortest text that leads back to them."""
+    return pa.array([None if v is None else repr(v) for v in values.cast(pa.float64()).to_pylist()], pa.string())
+
+
 def export_spectra(spectra: DataFrame) -> DataFrame:
-    """(row, text): tab-separated pairs of wavelength and value for each spectrum (name, wavelengths, values) by name;
-    a header, shorter spectra filled, missing values as NaN. A line of the file holds a pair of every spectrum, so the
-    names stand in one row, and a row of the result is put together from the cells that a line has."""
-    names = spectra.agg(F.array_sort(F.collect_set("name")).alias("names"))
-    pairs = spectra.select("name", F.posexplode(F.arrays_zip(F.col("wavelengths").alias("w"), F.col("values").alias("v"))).alias("row", "p"))
-    cell = F.concat_ws("\t", F.coalesce(F.col("p.w"), F.lit(PAD)).cast("string"), F.coalesce(F.col("p.v").cast("string"), F.lit("NaN")))
-    lines = pairs.groupBy((F.col("row") + 1).alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("name", cell.alias("cell")))).alias("cells"))
-    text = F.array_join(F.transform("names", lambda n: F.coalesce(F.try_element_at(F.col("cells"), n), F.lit(f"{PAD}\t{PAD}"))), "\t")
-    body = lines.crossJoin(names).select("row", text.alias("text"))  # one row of names
-    head = names.select(F.lit(0).alias("row"), F.array_join(F.transform("names", lambda n: F.concat(F.lit("Wavelength\t"), n)), "\t").alias("text"))
-    return head.union(body).orderBy("row")
+    """(row, text): tab-separated pairs of wavelength and value for each spectrum, in the order of ``position``.
+
+    spectra: (position, name, unit, wavelengths, values). A spectrum without wavelengths has the numbers of its bands;
+    shorter spectra are filled, missing values are NaN. A line of the file holds a pair of every spectrum, so one
+    file takes at most MOST_SPECTRA of them.
+    """
+    n, longest = spectra.agg(F.count(F.lit(1)), F.max(F.size("values"))).first()
+    if n > MOST_SPECTRA:
+        raise ValueError(f"{n} spectra are too many for the lines of one file; {MOST_SPECTRA} at most")
+    waved = F.col("wavelengths").isNotNull()
+    head = F.concat(F.when(waved, F.concat(F.lit("Wavelength ("), F.coalesce("unit", F.lit("")), F.lit(")"))).otherwise("Band"), F.lit("\t"), F.coalesce("name", F.lit("")))
+    joined = lambda cell: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "own", cell.alias("cell")))), lambda c: c.cell), "\t")
+    own = spectra.withColumn("own", F.monotonically_increasing_id())  # of equal positions
+    heads = own.groupBy().agg(joined(head).alias("text")).where("text <> ''").select(F.lit(0).alias("row"), "text")
+    rows = own.select("position", "own", waved.alias("waved"), F.size("values").alias("size"), "wavelengths", "values", F.explode(F.sequence(F.lit(0), F.lit((longest or 0) - 1)) if (longest or 0) > 0 else F.array().cast("array<int>")).alias("i"))
+    at = F.when(F.col("waved"), number_text(F.get("wavelengths", F.col("i")))).otherwise(F.col("i").cast("string"))
+    value = F.get("values", F.col("i"))
+    pair = F.concat(F.coalesce(at, F.lit("NaN")), F.lit("\t"), F.when(value.isNull() | F.isnan(value), "NaN").otherwise(number_text(value)))
+    cells = rows.select("position", "own", (F.col("i") + 1).alias("row"), F.when(F.col("i") < F.col("size"), pair).otherwise(f"{PAD}\t{PAD}").alias("pair"))
+    return heads.union(cells.groupBy("row").agg(joined(F.col("pair")).alias("text"))).orderBy("row")
 
 
 def export_pixel_spectra(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Medians and exports of any size against plain ones."""
 
+import random
 import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import roi
@@ -16,8 +18,8 @@ def test_medians_equal_plain_ones(spark):
         6: [1e9, *rng.uniform(size=99).tolist()], 7: [-4.0, 4.0], 8: rng.integers(0, 5, 300).astype(float).tolist(),
     }
     rows = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g int, v double")
-    for cells in (1, 2, 16, 4096):
-        got = dict(map(tuple, roi.exact_medians(rows, ["g"], cells).collect()))
+    for accuracy in (10, 100, 10_000):
+        got = dict(map(tuple, roi.exact_medians(rows, ["g"], accuracy).collect()))
         want = {g: statistics.median(there) if (there := [v for v in values if v is not None]) else None for g, values in groups.items()}
         assert got == want
     assert roi.exact_medians(rows.limit(0), ["g"]).count() == 0
@@ -29,5 +31,23 @@ def test_pixels_as_columns(spark):
 
 
 def test_an_empty_spectrum_in_an_export(spark):
-    df = spark.createDataFrame([("b", [1.0], [None]), ("a", [], [])], "name string, wavelengths array<double>, values array<double>")
-    assert [r["text"] for r in spectra_text.export_spectra(df).select(F.col("text")).collect()] == ["Wavelength\ta\tWavelength\tb", "9999.0\t9999.0\t1.0\tNaN"]
+    df = spark.createDataFrame([(1, "b", "nm", [1.0], [None]), (0, "a", None, None, [])], "position int, name string, unit string, wavelengths array<double>, values array<double>")
+    assert [r["text"] for r in spectra_text.export_spectra(df).select(F.col("text")).collect()] == ["Band\ta\tWavelength (nm)\tb", "9999\t9999\t1.0\tNaN"]
+    assert spectra_text.export_spectra(df.limit(0)).collect() == []
+
+
+def test_outliers_do_not_matter(spark):
+    """A few huge values beside many alike leave the middle where it is, and few values meet."""
+    rng = random.Random(6)
+    values = [rng.random() for _ in range(40_001)] + [1e300, -1e300, 1e12, float(2**60)]
+    rows = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0)] * 3000 + [(3, None)], "g int, v double").repartition(7)
+    got = dict(map(tuple, roi.exact_medians(rows, ["g"]).collect()))
+    assert got == {1: statistics.median(values), 2: 5.0, 3: None}
+
+
+def test_listed_points(spark):
+    cube = spark.createDataFrame([(0, 0, [1.0, 5.0]), (0, 1, [3.0, None]), (0, 2, [8.0, 1.0])], "y int, x int, spectrum array<double>")
+    points = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 0, 0), (2, 0, 0), (2, 2, 0), (3, 9, 9)], "roi_id long, x int, y int")
+    told = lambda how: {(r["roi_id"], r["band"]): r["value"] for r in roi.points_spectrum(cube, points, how).collect()}
+    assert told("mean") == {(1, 0): pytest.approx(5 / 3), (1, 1): None, (2, 0): 4.5, (2, 1): 3.0}
+    assert told("median") == {(1, 0): 1.0, (1, 1): None, (2, 0): 4.5, (2, 1): 3.0}

@@ -94,8 +94,9 @@ def test_spectra_from_text(spark, tmp_path, layout, content, want):
 
 
 def test_spectra_to_text(spark):
-    df = spark.createDataFrame([("a", [1.0, 2.0], [3.0, None]), ("b", [1.0], [4.0])], "name string, wavelengths array<double>, values array<double>")
-    assert [r["text"] for r in spectra_text.export_spectra(df).collect()] == ["Wavelength\ta\tWavelength\tb", "1.0\t3.0\t1.0\t4.0", "2.0\tNaN\t9999.0\t9999.0"]
+    rows = [(2, "a", "nm", [1.0, 2.0], [3.0, None]), (1, "a", "um", [0.5], [1e-5]), (0, "z", None, None, [4.0, 1e16])]
+    df = spark.createDataFrame(rows, "position int, name string, unit string, wavelengths array<double>, values array<double>")
+    assert [r["text"] for r in spectra_text.export_spectra(df).collect()] == ["Band\tz\tWavelength (um)\ta\tWavelength (nm)\ta", "0\t4.0\t0.5\t1e-05\t1.0\t3.0", "1\t1e+16\t9999\t9999\t2.0\tNaN"]
 
 
 def test_wavelength_lists(spark, tmp_path):
