@@ -1,8 +1,9 @@
 """Matching spectra with references: resampling, spectral angles and spectral feature fitting.
 
-A library is dealt into blocks of at most ``LIBRARY_ROWS`` references; each pixel meets a block as one array in its
-own row, so scoring needs no row for a pair. One block is broadcast, since its size is known; of several, each pixel
-meets each by a join on the block's number. The best reference of a pixel is the least of an array.
+A library is dealt into blocks of at most ``LIBRARY_ROWS`` references and ``LIBRARY_BYTES``; each pixel meets a block as
+one array in its own row, so scoring needs no row for a pair. A block is broadcast, since its size is known; of several,
+each is met by a scan of the pixels of its own, so that the pixels are never shuffled. The best reference of a pixel is
+the least of an array.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from lumenfold.functions.registry import finite
 from lumenfold.functions.units import LENGTHS, to_nm
 from lumenfold.operators.continuum import continuum_removed
 
-LIBRARY_ROWS = 2000
+LIBRARY_ROWS, LIBRARY_BYTES = 2000, 64 << 20
 
 
 def resample(refs: DataFrame, grid: DataFrame, extrapolate: bool = False) -> DataFrame:
@@ -56,12 +57,16 @@ def arrays(resampled: DataFrame, bands: int) -> DataFrame:
 def with_library(pixels: DataFrame, refs: DataFrame) -> tuple[DataFrame, int]:
     """Each pixel beside each block of the library, in one row: ``library`` is an array of structs of the columns of
     ``refs``. Also the number of blocks."""
-    blocks = max(1, -(-refs.count() // LIBRARY_ROWS))
+    wide = sum((F.coalesce(F.size(f.name), F.lit(0)) for f in refs.schema if f.dataType.typeName() == "array"), F.lit(1))
+    rows, values = refs.agg(F.count(F.lit(1)), F.sum(F.greatest(wide, F.lit(1)))).first()
+    blocks = max(1, -(-rows // LIBRARY_ROWS), -(-8 * (values or 0) // LIBRARY_BYTES))
     dealt = refs.withColumn("_block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
-    library = dealt.groupBy("_block").agg(F.collect_list(F.struct(*refs.columns)).alias("library"))
-    if blocks == 1:  # at most LIBRARY_ROWS references
-        return pixels.withColumn("_block", F.lit(0)).join(F.broadcast(library), "_block").drop("_block"), 1
-    return pixels.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(library, "_block").drop("_block"), blocks
+    out = None
+    for b in range(blocks):  # each has about as many references as another
+        library = dealt.where(F.col("_block") == b).groupBy("_block").agg(F.collect_list(F.struct(*refs.columns)).alias("library"))
+        met = pixels.withColumn("_block", F.lit(b)).join(F.broadcast(library), "_block").drop("_block")
+        out = met if out is None else out.union(met)
+    return out, blocks
 
 
 def sums(t: Column, r: Column) -> tuple[Column, Column, Column, Column]:
@@ -148,16 +153,19 @@ def on_target_bands(refs: DataFrame, wavelengths: Sequence[float], unit: str = "
     return arrays(resample(rows, grid), len(kept)), kept
 
 
-def sff(pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], mode: str = "image", max_rms: float = 0.03, spectrum: str = "spectrum") -> DataFrame:
+def sff(pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], mode: str = "image", max_rms: float = 0.03, spectrum: str = "spectrum", good: Sequence[bool] | None = None) -> DataFrame:
     """(…keys, ref_id, scale, score, is_match): continuum-removed features fitted by one scale; the score is the RMS.
 
+    Bands that aren't ``good`` are left out of the targets' continua and of the fit, but not of the references' continua.
     ``spectrum`` mode sums the residuals over all bands of the target and divides by those of the reference, ``image``
     mode uses the reference's bands for both.
     """
     keys = [c for c in pixels.columns if c != spectrum]
     flat = lambda c: F.transform(continuum_removed(c, wavelengths), lambda v: 1 - v)
-    library = refs.select("ref_id", flat(F.col("ref")).alias("ref"))
-    targets = pixels.withColumn(spectrum, F.transform(flat(F.col(spectrum)), lambda v: F.coalesce(v, F.lit(0.0))))
+    bad = F.array(*(F.lit(not g) for g in good)) if good is not None else None
+    seen = lambda c: c if bad is None else F.zip_with(c, bad, lambda v, b: F.when(~b, v))
+    library = refs.select("ref_id", seen(flat(F.col("ref"))).alias("ref"))
+    targets = pixels.withColumn(spectrum, F.transform(flat(seen(F.col(spectrum))), lambda v: F.coalesce(v, F.lit(0.0))))
     rows = with_library(targets, library)[0].select(*keys, F.col(spectrum).alias("t"), F.inline("library"))
     pair = F.zip_with("t", "ref", lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0.0)).alias("b"), b.isNotNull().alias("g")))
     once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  # a filter on the score would repeat named columns for every band
@@ -174,6 +182,18 @@ def sff(pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], mode:
     return out.withColumn("is_match", F.col("score") < max_rms if mode == "image" else F.col("score") <= max_rms)
 
 
+def sff_on_grid(
+    pixels: DataFrame, refs: DataFrame, wavelengths: Sequence[float], unit: str = "nm", good: Sequence[bool] | None = None, low: float | None = None, high: float | None = None,
+    mode: str = "image", max_rms: float = 0.03, spectrum: str = "spectrum",
+) -> DataFrame:
+    """From inputs to matches: references (ref_id, unit, wavelengths, values, good) of grids of their own, targets with
+    all bands of ``wavelengths``, of which those that aren't ``good`` or lie outside low to high (in ``unit``) don't count."""
+    on_target, kept = on_target_bands(refs, wavelengths, unit, None, low, high)
+    every = len(kept) == len(wavelengths)
+    targets = pixels if every else pixels.withColumn(spectrum, F.array(*(F.get(spectrum, F.lit(b)) for b in kept)))
+    return sff(targets, on_target, [float(wavelengths[b]) * LENGTHS[unit.lower()] for b in kept], mode, max_rms, spectrum, None if good is None else [bool(good[b]) for b in kept])
+
+
 def best_match(matches: DataFrame, keys: Sequence[str] = ("y", "x")) -> DataFrame:
     """The reference with the least score of each pixel, the smaller id on ties."""
     best = F.min(F.struct("score", "ref_id")).alias("best")

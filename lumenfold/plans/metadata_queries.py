@@ -77,12 +77,12 @@ def selections_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.selection_pixels(written)
 
 
-@query(_DOTS + ", o AS (SELECT y, x, list(score ORDER BY ref_id) AS q FROM a GROUP BY y, x) SELECT y, x, len(q) AS n, round(q[1], 3) AS b0, round(q[2], 3) AS b1 FROM o")
+@query(_DOTS + ", o AS (SELECT y, x, list(score ORDER BY ref_id) AS q FROM a GROUP BY y, x) SELECT y, x, len(q) AS n, round(list_sum(list_transform(range(len(q)), lambda k: q[k + 1] * (k + 1))), 3) AS total FROM o")
 def sam_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The angles as a cube with a band for each reference."""
     found = matching.as_cube(matching.sam(cube(spark, sf_dir), references(spark, sf_dir), threshold=75.0))
-    at = lambda b: F.round(F.get("spectrum", F.lit(b)), 3).alias(f"b{b}")
-    return found.select("y", "x", F.size("spectrum").cast("long").alias("n"), at(0), at(1))
+    total = F.aggregate(F.transform("spectrum", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return found.select("y", "x", F.size("spectrum").cast("long").alias("n"), F.round(total, 3).alias("total"))
 
 
 @query("SELECT (row_number() OVER (ORDER BY ref_id) - 1)::INT AS band, 'Spec: label ' || ref_id AS description FROM r")

@@ -30,7 +30,7 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube(spark, sf_dir).select("y", "x", F.round(F.sqrt(dot(F.col("spectrum"), F.col("spectrum"))), 6).alias("norm"))
 
 
-_GRID = "grid AS (SELECT b::INT AS band, 405.0::DOUBLE + 10 * b AS wavelength FROM range(40) g(b))"
+_GRID = "grid AS (SELECT b::INT AS band, 405.0::DOUBLE + 10 * b AS wavelength FROM range(64) g(b))"
 _SEGMENTS = ", c AS (SELECT ref_id, 400.0::DOUBLE + 20 * k AS w0, ref[2 * k + 1] AS v0, 420.0::DOUBLE + 20 * k AS w1, CASE WHEN k < 31 THEN ref[2 * k + 3] END AS v1 FROM r, range(32) q(k)), "
 
 
@@ -38,7 +38,7 @@ _SEGMENTS = ", c AS (SELECT ref_id, 400.0::DOUBLE + 20 * k AS w0, ref[2 * k + 1]
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References known at every second band, on a grid between the bands."""
     coarse = references(spark, sf_dir).select("ref_id", F.posexplode("ref").alias("b", "value")).where("b % 2 = 0").select("ref_id", (400.0 + 10 * F.col("b")).alias("wavelength"), "value")
-    grid = spark.range(40).select(F.col("id").cast("int").alias("band"), (405.0 + 10 * F.col("id")).alias("wavelength"))
+    grid = spark.range(BANDS).select(F.col("id").cast("int").alias("band"), (405.0 + 10 * F.col("id")).alias("wavelength"))
     return matching.resample(coarse, grid).select("ref_id", "band", r6("value"))
 
 
@@ -82,17 +82,17 @@ def sam_image_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _SEGMENTS
     + _GRID
-    + """, v AS (SELECT ref_id, band, v0 + (v1 - v0) * (wavelength - w0) / (w1 - w0) AS rv FROM c JOIN grid ON wavelength >= w0 AND wavelength < w1 AND v1 IS NOT NULL WHERE wavelength BETWEEN 450 AND 700 AND band % 7 <> 3),
+    + """, v AS (SELECT ref_id, band, v0 + (v1 - v0) * (wavelength - w0) / (w1 - w0) AS rv FROM c JOIN grid ON wavelength >= w0 AND wavelength < w1 AND v1 IS NOT NULL WHERE wavelength BETWEEN 450 AND 1000 AND band % 7 <> 3),
     m AS (SELECT vec_id, ref_id, sum(rv * s[band + 1]) AS tr, sum(s[band + 1] * s[band + 1]) AS tt, sum(rv * rv) AS rr FROM v, p GROUP BY vec_id, ref_id)
     SELECT vec_id, ref_id, round(degrees(acos(greatest(-1, least(1, tr / (sqrt(tt) * sqrt(rr)))))), 3) AS score FROM m"""
 )
 def sam_other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in micrometres on a grid of their own, against the targets' first 40 bands, read as 405, 415, … nm,
-    from 450 to 700 nm and without some bad bands."""
+    """References in micrometres on a grid of their own, against the targets' bands, read as 405, 415, … nm, from 450 to
+    1000 nm and without some bad bands."""
     coarse = F.filter("ref", lambda v, i: i % 2 == 0)
     at = F.transform(coarse, lambda v, i: (400.0 + 20 * i) / 1000.0)
     refs = references(spark, sf_dir).select("ref_id", F.lit("um").alias("unit"), at.alias("wavelengths"), coarse.alias("values"), F.transform(coarse, lambda v: F.lit(True)).alias("good"))
-    found, kept = matching.on_target_bands(refs, [405.0 + 10 * b for b in range(40)], "nm", [b % 7 != 3 for b in range(40)], 450.0, 700.0)
+    found, kept = matching.on_target_bands(refs, [405.0 + 10 * b for b in range(BANDS)], "nm", [b % 7 != 3 for b in range(BANDS)], 450.0, 1000.0)
     targets = raster.some_bands(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), kept)
     return matching.sam(targets, found, mode="image").select("vec_id", "ref_id", F.round("score", 3).alias("score"))
 
@@ -158,6 +158,55 @@ def sff_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "ref_id", F.round("score", 5).alias("score"))
 
 
+def _masked_fit(refs: str, good: str) -> str:
+    """CTEs of a fit with bad bands: targets ``good``, references from a CTE rs (ref_id, band, v) of their own good bands."""
+    return (
+        f", t AS (SELECT vec_id, y, x, band, v + 1.5 AS v FROM l WHERE {good}), ht AS ({_hull('t', 'vec_id')}), rs AS ({refs}), hr AS ({_hull('rs', 'ref_id')}),"
+        " f AS (SELECT vec_id, k.ref_id, 1 - ht.removed AS t, 1 - hr.removed AS r FROM ht JOIN (SELECT DISTINCT ref_id FROM rs) k ON true LEFT JOIN hr ON hr.ref_id = k.ref_id AND hr.band = ht.band),"
+        " g AS (SELECT vec_id, ref_id, sum(t * r) / nullif(sum(r * r), 0) AS scale, count(r) AS n FROM f GROUP BY vec_id, ref_id),"
+        " o AS (SELECT vec_id, ref_id, any_value(scale) AS scale, sqrt(sum(CASE WHEN r IS NOT NULL THEN (t - scale * r) ** 2 END) / any_value(n)) AS of_image, sqrt(sum((t - scale * coalesce(r, 0)) ** 2) / any_value(n)) AS of_spectrum FROM f JOIN g USING (vec_id, ref_id) GROUP BY vec_id, ref_id) "
+    )
+
+
+def _shifted(spark: SparkSession, sf_dir: str, step: int, unit: str, factor: float) -> DataFrame:
+    """References of every ``step``-th band with their first three values bad where the id is odd."""
+    every = F.filter("ref", lambda v, i: i % step == 0)
+    at = F.transform(every, lambda v, i: (400.0 + 10 * step * i) * factor)
+    good = F.transform(every, lambda v, i: (F.col("ref_id") % 2 == 0) | (i >= 3))
+    return _positive(references(spark, sf_dir), "ref").select("ref_id", F.lit(unit).alias("unit"), at.alias("wavelengths"), every.alias("values"), good.alias("good"))
+
+
+@query(_masked_fit("SELECT ref_id, b.i::INT AS band, ref[b.i + 1] + 1.5 AS v FROM r, range(64) b(i) WHERE ref_id % 2 = 0 OR b.i >= 3", "band % 16 <> 15") + "SELECT vec_id, ref_id, round(scale, 4) AS scale, round(of_image, 5) AS image, round(of_spectrum, 5) AS spectrum FROM o")
+def sff_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad bands of targets and references in both modes, whose errors differ by the bands that a reference lacks."""
+    pixels, refs = _positive(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum"), _shifted(spark, sf_dir, 1, "nm", 1.0)
+    image, one = (matching.sff_on_grid(pixels, refs, WAVELENGTHS, "nm", GOOD, mode=mode) for mode in ("image", "spectrum"))
+    found = image.select("vec_id", "ref_id", F.round("scale", 4).alias("scale"), F.round("score", 5).alias("image"))
+    return found.join(one.select("vec_id", "ref_id", F.round("score", 5).alias("spectrum")), ["vec_id", "ref_id"])
+
+
+_BETWEEN = """SELECT ref_id, band, v FROM (SELECT ref_id, b.i::INT AS band, CASE WHEN b.i % 2 = 0 THEN ref[b.i + 1] ELSE (ref[b.i] + ref[b.i + 2]) / 2 END + 1.5 AS v FROM r, range(5, 56) b(i)) WHERE ref_id % 2 = 0 OR band >= 6"""
+
+
+@query(_masked_fit(_BETWEEN, "band BETWEEN 5 AND 55 AND band % 16 <> 15") + "SELECT vec_id, ref_id, round(scale, 4) AS scale, round(of_image, 5) AS score, of_image < 0.05 AS is_match FROM o")
+def sff_other_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in micrometres at every second band, between two wavelengths, with bad bands on both sides."""
+    pixels = _positive(cube(spark, sf_dir, "vec_id").select("vec_id", "spectrum"), "spectrum")
+    found = matching.sff_on_grid(pixels, _shifted(spark, sf_dir, 2, "um", 0.001), WAVELENGTHS, "nm", GOOD, 450.0, 950.0, max_rms=0.05)
+    return found.select("vec_id", "ref_id", F.round("scale", 4).alias("scale"), F.round("score", 5).alias("score"), "is_match")
+
+
+@query(_FIT + ", w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ref_id) AS k FROM o) SELECT y, x, count(*) AS n, round(sum(k * scale), 3) AS scales, round(sum(k * score), 4) AS scores, sum(k * (score < 0.06)::INT)::BIGINT AS matches FROM w JOIN (SELECT DISTINCT vec_id, y, x FROM p) USING (vec_id) GROUP BY y, x")
+def sff_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales, errors and matches as cubes with a band for each reference, all of them."""
+    found = matching.sff(_positive(cube(spark, sf_dir), "spectrum"), _positive(references(spark, sf_dir), "ref"), WAVELENGTHS, max_rms=0.06)
+    out, weighed = None, lambda d: F.round(F.aggregate(F.transform("spectrum", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), d)
+    for value, name, digits in (("scale", "scales", 3), ("score", "scores", 4), ("is_match", "matches", 0)):
+        own = matching.as_cube(found, value).select("y", "x", *([F.size("spectrum").cast("long").alias("n")] if out is None else []), weighed(digits).alias(name))
+        out = own if out is None else out.join(own, ["y", "x"])
+    return out.withColumn("matches", F.col("matches").cast("long"))
+
+
 @query()
 def pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four components of each pixel; eigenvectors are beyond SQL, the tests hold them against numpy."""
