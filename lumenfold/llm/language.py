@@ -128,20 +128,21 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             rows = [(k, g, subwords(t)) for k, g, t in zip(batch.column("key").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if LETTER.search(t)]
             at = [np.flatnonzero(c) for _, _, c in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([str(k) for k, _, _ in rows], pa.string()), pa.array([g for _, g, _ in rows], pa.string()), pa.array([i.astype(np.int32) for i in at], pa.list_(pa.int32())), pa.array([c[i] for i, (_, _, c) in zip(at, rows, strict=True)], pa.list_(pa.float32()))],
+                [pa.array([str(k) for k, _, _ in rows], pa.string()), pa.array([g for _, g, _ in rows], pa.string()), pa.array([i.astype("<i4").tobytes() for i in at], pa.binary()), pa.array([c[i].astype("<f4").tobytes() for i, (_, _, c) in zip(at, rows, strict=True)], pa.binary())],
                 names=["key", "lang", "at", "n"],
             )
 
-    rows = sorted(sample.select("key", "lang", "text").mapInArrow(run, "key string, lang string, at array<int>, n array<float>").collect())  # bounded by sample_rows
+    rows = sorted(sample.select("key", "lang", "text").mapInArrow(run, "key string, lang string, at binary, n binary").collect())  # bounded by sample_rows; bytes, since lists of numbers take ten times the memory
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
     x, y = np.zeros((len(rows), BUCKETS), np.float32), np.array([languages.index(r["lang"]) for r in rows])
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r["n"]
+        x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["n"], "<f4")
+    del rows
     total = x.sum(1)
     x /= np.maximum(1, total[:, None])
-    aside = np.arange(len(rows)) % 4 == 3
+    aside = np.arange(len(x)) % 4 == 3
     aside = aside if aside.any() else ~aside
     weights, bias = descend(x[~aside] if (~aside).any() else x, y[~aside] if (~aside).any() else y, len(languages))
     logits, truth = x[aside] @ weights + bias, y[aside]
