@@ -283,10 +283,10 @@ def northing_easting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(text.parse_northing_easting(written), 6).alias("value"))
 
 
-@query("SELECT band, round(min(v), 6) AS lo, round(max(v), 6) AS hi, count(*) AS n FROM l WHERE label % 2 = 0 GROUP BY band")
+@query("SELECT band, round(min(v), 6) AS lo, round(max(v), 6) AS hi, count(*) AS n FROM l GROUP BY band")
 def band_stats_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits of each band where the number of bands isn't known beforehand."""
-    rows = cube(spark, sf_dir, "label").where("label % 2 = 0").drop("label")
+    rows = cube(spark, sf_dir)
     found = stats.band_stats(rows)
     n = rows.agg(F.count(F.lit(1)).alias("n"))
     return raster.attach(found, n).select("band", F.round("min_value", 6).alias("lo"), F.round("max_value", 6).alias("hi"), "n")

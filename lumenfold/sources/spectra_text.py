@@ -112,8 +112,9 @@ def import_wavelengths(lines: DataFrame, index: int = 0, by: str = "row") -> lis
 
 
 def match_report(matches: DataFrame) -> DataFrame:
-    """Matches as lines for a text file, best first."""
-    return matches.orderBy("score", "ref_id").select(F.to_csv(F.struct(*matches.columns)).alias("value"))
+    """Matches as lines for a text file, best first, ties by the other columns."""
+    others = [c for c in matches.columns if c not in ("score", "ref_id")]
+    return matches.orderBy("score", "ref_id", *others).select(F.to_csv(F.struct(*matches.columns)).alias("value"))
 
 
 def scatter_selection(points: DataFrame) -> DataFrame:
