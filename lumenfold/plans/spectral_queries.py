@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,3 +221,22 @@ def pca_explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variances of all components add up to that of the bands."""
     model = pca.fit(cube(spark, sf_dir), BANDS)
     return model.frame(spark).agg(F.round(F.sum("variance"), 5).alias("total_variance"))
+
+
+@query(
+    """, m AS (SELECT band, avg(v) AS m FROM l GROUP BY band), d AS (SELECT vec_id, band, v - m AS v FROM l JOIN m USING (band)),
+    c AS (SELECT a.band AS i, b.band AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM d a JOIN d b USING (vec_id) GROUP BY a.band, b.band)
+    SELECT 0 AS mixed, round(sum(CASE WHEN i = j THEN c END), 6) AS variances, round(sum(c * c), 6) AS squares, 1.0::DOUBLE AS ratios, 64.0::DOUBLE AS lengths, true AS falling FROM c"""
+)
+def pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all pixels have no covariance with each other, and their variances and squares of these add up to
+    those of the bands' covariances; loadings have length one, and variances fall."""
+    rows = cube(spark, sf_dir)
+    model = pca.fit(rows, BANDS)
+    n, s, p, _ = pca.moments(pca.transform(rows, model))
+    found = (p - np.outer(s, s) / n) / (n - 1)
+    own, told = np.diag(found), model.frame(spark)
+    mixed = int((np.abs(found - np.diag(own)) > 1e-9).sum() + (np.abs(own - model.variance) > 1e-9).sum())
+    length = F.aggregate("loadings", F.lit(0.0), lambda t, v: t + v * v)
+    falling = bool((np.diff(own) <= 1e-9).all())
+    return told.agg(F.lit(mixed).alias("mixed"), F.round(F.sum("variance"), 6).alias("variances"), F.round(F.sum(F.col("variance") * F.col("variance")), 6).alias("squares"), F.round(F.sum("ratio"), 9).alias("ratios"), F.round(F.sum(length), 6).alias("lengths"), F.lit(falling).alias("falling"))
