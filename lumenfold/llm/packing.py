@@ -1,6 +1,6 @@
 """Packing token streams: concatenate and cut.
 
-Pass one encodes each text once, in scan order, and writes its ids (16 bits each) with its place: the number of its
+Pass one encodes each text once, in scan order and some 16 MB at a time, and writes its ids (16 bits each) with its place: the number of its
 partition and the tokens before it there. The token totals of the partitions (one row for each partition) give, by a
 prefix sum, the tokens before each partition. Pass two adds both to a global offset and cuts each document where a
 window of fixed length ends; a document that crosses such a boundary, or that of a partition, yields a piece on each
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.bpe import as_array, default_path, encoder, in_slices
+from lumenfold.llm.bpe import by_size, default_path, encoder
 from lumenfold.llm.common import cut, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -29,18 +29,17 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def tokens(df: DataFrame, text: str, key: str, path: str, end_id: int) -> DataFrame:
     """(key, part, before, n, ids): ids as little-endian 16 bits with the end mark, before = tokens before it in its partition."""
     kind = df.schema[key].dataType.simpleString()
-    end = chr(end_id)
 
     def run(batches):
         bpe, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for rows, ids in in_slices(batches, text, lambda x: bpe.encode(x) + end):
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            starts = before + np.concatenate([[0], np.cumsum(n)[:-1]])
-            before += int(n.sum())
+        for rows in by_size(batches, text):
+            offsets, ids = bpe.encode_many(rows.column(text), end_id)
+            held = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((offsets * 2).astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [rows.column(key), pa.array(np.full(len(ids), part)), pa.array(starts), pa.array(n), pa.array([as_array(x).tobytes() for x in ids], pa.binary())],
+                [rows.column(key), pa.array(np.full(rows.num_rows, part)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), held],
                 names=[key, "part", "before", "n", "ids"],
             )
+            before += int(offsets[-1])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, part long, before long, n long, ids binary")
 
