@@ -101,7 +101,9 @@ def spectra_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("ref_id")
     waves = F.array(*map(F.lit, WAVELENGTHS))
     cut = F.slice("ref", 1, (64 - k).cast("int"))
-    values = F.transform(cut, lambda v: F.when(F.round(v, 4) <= 0.2, F.round(v, 4)))
+    # as SQL has it: a small negative value becomes -0.0, which is another text; a zero of either sign is 0.0
+    rounded = lambda v: F.signum(v + 0.0) * F.round(F.abs(v), 4)
+    values = F.transform(cut, lambda v: F.when(rounded(v) <= 0.2, rounded(v)))
     rows = references(spark, sf_dir).select((-k).alias("position"), F.lit("same").alias("name"), F.lit("nm").alias("unit"), F.when(k % 3 != 0, waves).alias("wavelengths"), values.alias("values"))
     return spectra_text.export_spectra(rows)
 

@@ -41,3 +41,10 @@ def test_only_exact_points_give_the_inverse(spark):
     near = spark.createDataFrame([*rows[:-1], (*rows[-1][:2], rows[-1][2] + 1e-9, rows[-1][3])], kind)
     assert wp.way_back(near, wp.fit_polynomial(near)) is None
     assert wp.way_back(exact, wp.fit_polynomial(exact, 2)) is None
+
+
+def test_exported_zeros_keep_their_sign(spark, tmp_path):
+    values = "CASE b % 5 WHEN 0 THEN -0.00003 WHEN 1 THEN 0.00003 WHEN 2 THEN -0.00005 WHEN 3 THEN -0.0D ELSE b / 100 - 0.3 END"
+    spark.range(30).selectExpr("id AS vec_id", f"transform(sequence(0, 63), b -> float({values})) AS embedding", "int(id % 10) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(4).selectExpr("id AS event_id", "'a' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(catalog.QUERIES["spectra_export"](spark, str(tmp_path)), catalog.ORACLE["spectra_export"], str(tmp_path))
