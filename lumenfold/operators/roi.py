@@ -64,23 +64,50 @@ def exact_medians(rows: DataFrame, keys: Sequence[str], accuracy: int = 10_000)
     span = rows.groupBy(*keys).agg(F.percentile_approx("v", near, accuracy).alias("_q"), F.count("v").alias("_n"))
     upto = rows.where("v IS NOT NULL").join(span, keys).where(F.col("v") <= F.col("_q")[1])
     counted = upto.groupBy(*keys, "_n", F.when(F.col("v") >= F.col("_q")[0], F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("_c"))
+    return span.select(*keys).join(_middles(counted, keys), keys, "left")
+
+
+def _middles(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(…keys, value): the median of groups of ``_n`` values, of which ``v`` is there ``_c`` times; NULL stands for those below."""
     order = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
     ranked = counted.withColumn("_at", F.sum("_c").over(order) - F.col("_c"))
     holds = lambda place: F.max(F.when((F.col("_at") <= place) & (F.col("_at") + F.col("_c") > place), F.col("v")))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)  # places of the middle values, from 0
-    found = ranked.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("value"))
-    return span.select(*keys).join(found, keys, "left")
+    return ranked.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias("value"))
+
+
+def counted_medians(rows: DataFrame, keys: Sequence[str], parts: int = 64, accuracy: int = 1000) -> DataFrame:
+    """(…keys, value): the same where a value ``v`` is there ``_c`` times.
+
+    Quantiles of the rows, whatever their counts, cut a group into parts. The parts that hold the middle are found by
+    adding up counts, and only their values are ranked.
+    """
+    keys = list(keys)
+    edges = [i / parts for i in range(parts + 1)]
+    span = rows.groupBy(*keys).agg(F.percentile_approx("v", edges, accuracy).alias("_q"), F.sum(F.when(F.col("v").isNotNull(), F.col("_c"))).alias("_n"))
+    placed = rows.where("v IS NOT NULL").join(span, keys).withColumn("_part", F.size(F.filter("_q", lambda q: q < F.col("v")))).drop("_q")
+    order = Window.partitionBy(*keys).orderBy("_part")
+    walked = placed.groupBy(*keys, "_n", "_part").agg(F.sum("_c").alias("_w")).withColumn("_upto", F.sum("_w").over(order))
+    holding = walked.where((F.col("_upto") > F.floor((F.col("_n") - 1) / 2)) & (F.col("_upto") - F.col("_w") <= F.floor(F.col("_n") / 2)))
+    ends = holding.groupBy(*keys).agg(F.min("_part").alias("_low"), F.max("_part").alias("_high"))
+    upto = placed.join(ends, keys).where("_part <= _high")
+    counted = upto.groupBy(*keys, "_n", F.when(F.col("_part") >= F.col("_low"), F.col("v")).alias("v")).agg(F.sum("_c").alias("_c"))
+    return span.select(*keys).join(_middles(counted, keys), keys, "left")
 
 
 def points_spectrum(cube: DataFrame, points: DataFrame, how: str = "mean") -> DataFrame:
     """(roi_id, band, value): the mean or median of each band over listed points (roi_id, x, y) that the cube has, a
-    point listed twice counting twice. Unlike in a region, a missing value of one point makes that of the band missing."""
+    point listed twice counting twice. Unlike in a region, a missing value of one point makes that of the band missing.
+
+    Points are counted before they meet the cube, so that one which is listed often is one row with its count.
+    """
     if how not in ("mean", "median"):
         raise ValueError("mean or median")
-    rows = cube.join(points.select("roi_id", "x", "y"), ["x", "y"]).select("roi_id", F.posexplode("spectrum").alias("band", "v")).withColumn("v", finite(F.col("v")))
-    whole = rows.groupBy("roi_id", "band").agg(F.avg("v").alias("value"), F.bool_and(F.col("v").isNotNull()).alias("whole"))
+    listed = points.groupBy("roi_id", "x", "y").agg(F.count(F.lit(1)).alias("_c"))
+    rows = cube.join(listed, ["x", "y"]).select("roi_id", "_c", F.posexplode("spectrum").alias("band", "v")).withColumn("v", finite(F.col("v")))
+    whole = rows.groupBy("roi_id", "band").agg((F.sum(F.col("v") * F.col("_c")) / F.sum("_c")).alias("value"), F.bool_and(F.col("v").isNotNull()).alias("whole"))
     if how == "median":
-        whole = exact_medians(rows, ["roi_id", "band"]).join(whole.drop("value"), ["roi_id", "band"])
+        whole = counted_medians(rows, ["roi_id", "band"]).join(whole.drop("value"), ["roi_id", "band"])
     return whole.select("roi_id", "band", F.when(F.col("whole"), F.col("value")).alias("value"))
 
 

@@ -51,3 +51,25 @@ def test_listed_points(spark):
     told = lambda how: {(r["roi_id"], r["band"]): r["value"] for r in roi.points_spectrum(cube, points, how).collect()}
     assert told("mean") == {(1, 0): pytest.approx(5 / 3), (1, 1): None, (2, 0): 4.5, (2, 1): 3.0}
     assert told("median") == {(1, 0): 1.0, (1, 1): None, (2, 0): 4.5, (2, 1): 3.0}
+
+
+def test_medians_of_counted_values(spark):
+    rng = random.Random(8)
+    groups = {0: [(rng.random(), rng.randint(1, 900)) for _ in range(300)], 1: [(1.0, 5), (2.0, 5)], 2: [(1.0, 1), (3.0, 1_000_000), (9.0, 2)], 3: [(None, 7)], 4: [(None, 7), (4.0, 1)], 5: [(7.0, 3), (7.0, 2), (-1.0, 5)], 6: [(float(v % 9), 1 + v % 3) for v in range(99)]}
+    rows = spark.createDataFrame([(g, v, n) for g, own in groups.items() for v, n in own], "g int, v double, _c long")
+    want = {g: statistics.median(there) if (there := [v for v, n in own for _ in range(n) if v is not None]) else None for g, own in groups.items()}
+    for parts, accuracy in ((64, 1000), (4, 10), (1, 10)):
+        assert dict(map(tuple, roi.counted_medians(rows, ["g"], parts, accuracy).collect())) == want
+    assert roi.counted_medians(rows.limit(0), ["g"]).count() == 0
+
+
+def test_points_are_counted_before_they_meet_the_cube(spark, monkeypatch):
+    """A point that is listed often makes no more rows of bands than one listed once."""
+    cube = spark.createDataFrame([(0, x, [float(x), 2.0 * x]) for x in range(3)], "y int, x int, spectrum array<double>")
+    points = spark.range(30_000).selectExpr("id % 2 AS roi_id", "int(id % 3) AS x", "0 AS y")
+    met, plain = [], roi.counted_medians
+    monkeypatch.setattr(roi, "counted_medians", lambda rows, keys: met.append(rows.count()) or plain(rows, keys))
+    for how in ("mean", "median"):
+        found = roi.points_spectrum(cube, points, how).collect()
+        assert {(r["roi_id"], r["band"]): r["value"] for r in found} == {(i, b): b + 1.0 for i in (0, 1) for b in (0, 1)}
+    assert met == [12]
