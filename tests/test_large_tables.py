@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from lumenfold.operators import geo
 from lumenfold.operators import warp as wp
 from lumenfold.plans import catalog
 from tests.oracle import assert_same
@@ -48,3 +49,21 @@ def test_exported_zeros_keep_their_sign(spark, tmp_path):
     spark.range(30).selectExpr("id AS vec_id", f"transform(sequence(0, 63), b -> float({values})) AS embedding", "int(id % 10) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.range(4).selectExpr("id AS event_id", "'a' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
     assert_same(catalog.QUERIES["spectra_export"](spark, str(tmp_path)), catalog.ORACLE["spectra_export"], str(tmp_path))
+
+
+def test_linked_pairs_are_not_shuffled(spark):
+    """Only datasets are exchanged, by size and by cell; no pairs, which are many more."""
+    gt = "named_struct('gt0', double(id * 7 % 40), 'gt1', 1.0D, 'gt2', 0.0D, 'gt3', double(id * 5 % 30), 'gt4', 0.0D, 'gt5', -1.0D)"
+    rows = lambda n: spark.range(n).selectExpr("id AS ds_id", "IF(id % 9 = 0, NULL, int(3 + id % 4)) AS width", "int(2 + id % 3) AS height", f"{gt} AS gt", "IF(id % 5 > 0, concat('utm', id % 2), NULL) AS wkt")
+    a, b = rows(60), rows(90)
+    found = geo.link_state(a, b, 16.0)
+    held = lambda d: [(r["ds_id"], r["width"], r["height"], r["gt"]["gt0"], r["gt"]["gt3"], r["wkt"]) for r in d.collect()]
+    want = []
+    for i, w, h, x, y, k in held(a):
+        for j, v, g, p, q, m in held(b):
+            if w is not None and (w, h) == (v, g):
+                want.append((i, j, "PIXEL"))
+            elif None not in (k, m, w, v) and k == m and x <= p + v and p <= x + w and y - h <= q and q - g <= y:
+                want.append((i, j, "SPATIAL"))
+    assert sorted(map(tuple, found.where("a_id % 9 > 0 AND b_id % 9 > 0").collect())) == sorted(w for w in want if w[0] % 9 and w[1] % 9)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
