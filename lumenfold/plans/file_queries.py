@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from uuid import uuid4
 
 import pyarrow as pa
@@ -121,14 +122,13 @@ def ascii_grid_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{_at(spark, 'grid')}/band.asc"
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b["text"].to_pylist()]
         head = f"ncols 100\nnrows {height}\nxllcorner 2500.0\nyllcorner 70.0\ncellsize 30.0\nNODATA_value -9999\n"
-        envi.put(at, (head + "\n".join(texts) + "\n").encode())
-        yield pa.record_batch([pa.array([len(texts)])], names=["n"])
+        envi.put(at, chain([head.encode()], ("".join(f"{t}\n" for t in b["text"].to_pylist()).encode() for b in batches)))
+        yield pa.record_batch([pa.array([height])], names=["n"])
 
     lines.repartition(1).sortWithinPartitions("y").mapInArrow(put, "n long").collect()
     info = ascii_grid.read_info(spark, at).select("path", "width", F.get("gt", F.lit(0)).alias("left"), F.get("gt", F.lit(5)).alias("step"))
-    return ascii_grid.read_grid(spark, at).join(info, "path").join(band.select("y", "x"), ["y", "x"]).select("y", "x", "value", "width", "left", "step")
+    return ascii_grid.read_grid(spark, at).join(F.broadcast(info), "path").join(band.select("y", "x"), ["y", "x"]).select("y", "x", "value", "width", "left", "step")
 
 
 @query(" SELECT p_partkey, 'scene' || p_partkey || '_ndvi' AS result FROM part")

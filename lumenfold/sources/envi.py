@@ -7,7 +7,7 @@ that rasters may be of any size. The writer makes a raster of each block of line
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from urllib.parse import quote
 from uuid import uuid4
 
@@ -253,13 +253,14 @@ def write_raster(
     return cube.sparkSession.createDataFrame(sorted(rows), "block int, file string, lines int")
 
 
-def put(uri: str, content: bytes) -> None:
-    """A file that is there as a whole or not at all."""
+def put(uri: str, content: bytes | Iterable[bytes]) -> None:
+    """A file that is there as a whole or not at all, written piece by piece if it comes so."""
     found, place = store(uri)
     found.create_dir(place.rpartition("/")[0], recursive=True)
     own = place if found.type_name in ("s3", "gcs") else f"{place.rpartition('/')[0]}/_{uuid4().hex}"  # object stores show closed files only
     with found.open_output_stream(own) as out:
-        out.write(content)
+        for piece in [content] if isinstance(content, bytes) else content:
+            out.write(piece)
     if own != place:
         found.move(own, place)
 

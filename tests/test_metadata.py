@@ -99,3 +99,29 @@ def test_unreadable_selections_and_missing_scores(spark):
     matches = spark.createDataFrame([(0, 0, 2, None, False), (0, 0, 1, 3.5, True)], "y int, x int, ref_id long, score double, is_match boolean")
     assert matching.as_cube(matches, missing=-1.0).first()["spectrum"] == [3.5, -1.0]
     assert matching.as_cube(matches, "is_match").first()["spectrum"] == [1.0, 0.0]
+
+
+def test_grids_of_many_splits(spark, tmp_path):
+    """Values broken into lines anyhow, more than one split to a file, keys and values on lines of their own."""
+    cells = [str(i) if i % 7 else "-9999" for i in range(60 * 50)]
+    wrapped, at = [], 0
+    while at < len(cells):
+        wrapped.append((" " * (at % 3)) + " \t".join(cells[at : at + 1 + at % 37]) + ("\r\n" if at % 2 else "\n\n"))
+        at += 1 + at % 37
+    (tmp_path / "a.asc").write_bytes(("\n\nncols 60 nrows\n50\n\nNODATA_value\t-9999\ndx 2\ndy 4\n" + "".join(wrapped)).encode())
+    (tmp_path / "b.asc").write_text("ncols 2\nnrows 1\n8 9")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert ascii_grid._lines(spark, str(tmp_path)).select("path", "start").distinct().count() > 9
+        rows = ascii_grid.read_grid(spark, str(tmp_path)).collect()
+        info = {r["path"][-5:]: (r["width"], r["height"], r["ignore_value"], r["gt"]) for r in ascii_grid.read_info(spark, str(tmp_path)).collect()}
+        (tmp_path / "c.asc").write_text(" \n")
+        with pytest.raises(Exception, match="values that its header tells"):
+            ascii_grid.read_grid(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r["y"], r["x"]): r["value"] for r in rows if r["path"].endswith("a.asc")} == {(i // 60, i % 60): float(i) if i % 7 else None for i in range(3000)}
+    assert sorted((r["x"], r["value"]) for r in rows if r["path"].endswith("b.asc")) == [(0, 8.0), (1, 9.0)] and len(rows) == 3002
+    assert info == {"a.asc": (60, 50, -9999.0, [0.0, 2.0, 0.0, 200.0, 0.0, -4.0]), "b.asc": (2, 1, None, [0.0, None, 0.0, None, 0.0, None])}
