@@ -67,3 +67,18 @@ def test_linked_pairs_are_not_shuffled(spark):
                 want.append((i, j, "SPATIAL"))
     assert sorted(map(tuple, found.where("a_id % 9 > 0 AND b_id % 9 > 0").collect())) == sorted(w for w in want if w[0] % 9 and w[1] % 9)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+_SETS = ["id AS ds_id", "concat('d', id % 3) AS name", "int(id % 4) AS width", "5 AS height", "4 AS num_bands", "IF(id % 3 = 0, -9999.0D, NULL) AS ignore_value", "named_struct('gt0', double(id % 2)) AS gt", "IF(id % 5 > 0, 'utm', NULL) AS wkt"]
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_pairs_of_a_name(spark, monkeypatch, block):
+    monkeypatch.setattr(geo, "BLOCK", block)
+    a, b = spark.range(20).selectExpr(*_SETS), spark.range(0, 33, 1, 3).selectExpr(*_SETS)
+    fields = lambda i: (i % 4, i % 3 == 0, i % 2, i % 5 > 0)
+    want = sorted((i, j, fields(i) == fields(j)) for i in range(20) for j in range(33) if i % 3 == j % 3)
+    found = geo.same_metadata(a, b)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Generate explode") < plan.find("Join Inner")  # a row of the join is a block of pairs
